@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from namesieve.functions.text import _col, fill, strip
+from namesieve.functions.text import _col, fill, let, strip, word_list
 
 _M = r"(1[0-2]|0[1-9]|[1-9])"
 _D = r"(3[0-1]|[1-2]\d|0[1-9]|[1-9])"
@@ -41,28 +41,27 @@ def _by_layout(c: Column, pattern: str, y: int, m: int, d: int) -> Column:
 def _by_month_name(c: Column) -> Column:
     pattern = rf"^{_D}\s+([A-Za-z]+)\s+{_Y}$"
     name = F.lower(F.regexp_extract(c, pattern, 2))
-    full = F.array(*[F.lit(m) for m in MONTHS])
-    short = F.array(*[F.lit(m[:3]) for m in MONTHS])
+    full, short = word_list(MONTHS), word_list(m[:3] for m in MONTHS)
     number = F.greatest(F.array_position(full, name), F.array_position(short, name))
     day, year = F.regexp_extract(c, pattern, 1), F.regexp_extract(c, pattern, 3)
     return F.when(c.rlike(pattern) & (number > 0), _ymd(year, number.cast("string"), day))
 
 
-def _known_layouts(c: Column) -> Column:
-    return F.coalesce(*[_by_layout(c, *layout) for layout in LAYOUTS], _by_month_name(c))
+def _embedded(inner: Column) -> Column:
+    return F.coalesce(_by_layout(inner, *LAYOUTS[0]), _by_layout(inner, *LAYOUTS[5]))
+
+
+def _parsed(c: Column) -> Column:
+    known = [_by_layout(c, *layout) for layout in LAYOUTS]
+    inner, year = F.regexp_extract(c, EMBEDDED, 1), F.regexp_extract(c, _Y, 1)
+    january = F.try_to_date(F.concat(year, F.lit("-01-01")), "yyyy-MM-dd")
+    rest = F.when(inner != "", let(inner, _embedded)).otherwise(F.when(year != "", january))
+    return F.coalesce(*known, _by_month_name(c), rest)
 
 
 def to_date_any(c) -> Column:
     """DateType from any known layout, an embedded date, or a bare year; null when none fits."""
-    c = strip(_col(c))
-    inner = F.regexp_extract(c, EMBEDDED, 1)
-    embedded = F.coalesce(_by_layout(inner, *LAYOUTS[0]), _by_layout(inner, *LAYOUTS[5]))
-    year = F.regexp_extract(c, _Y, 1)
-    january = F.try_to_date(F.concat(year, F.lit("-01-01")), "yyyy-MM-dd")
-    return F.coalesce(
-        _known_layouts(c),
-        F.when(inner != "", embedded).otherwise(F.when(year != "", january)),
-    )
+    return let(strip(_col(c)), _parsed)
 
 
 def iso(date: Column) -> Column:

@@ -7,7 +7,7 @@ ASCII separator controls, hence the explicit character class.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -27,6 +27,21 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` mentions it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def word_list(items: Iterable[str]) -> Column:
+    """A constant array as one literal: plans with long tables stay small."""
+    return F.split(F.lit("\x01".join(items)), "\x01")
+
+
+def lookup_table(mapping: Mapping[str, str]) -> Column:
+    """A constant map, built the same way."""
+    return F.map_from_arrays(word_list(mapping), word_list(mapping.values()))
+
+
 def nfkc(c) -> Column:
     """Unicode NFKC. Only non-ASCII values reach Python; the rest cross as nulls."""
     c = _col(c)
