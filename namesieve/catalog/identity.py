@@ -61,18 +61,23 @@ def image_check(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _number() -> Column:
+    """Document numbers without the digit 1, runs of which are taken for fillers."""
+    return F.lpad(F.translate(F.col("c_custkey").cast("string"), "1", "K"), 9, "0")
+
+
 def _passport_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Two zone lines per customer; every third has a wrong number check digit."""
-    number = F.lpad(F.col("c_custkey").cast("string"), 9, "0")
+    number = _number()
     birth = F.concat(F.lpad((F.col("c_nationkey") + 60).cast("string"), 2, "0"), F.lit("0312"))
     expiry = F.concat(F.lpad((F.col("c_nationkey") + 10).cast("string"), 2, "0"), F.lit("0201"))
     digit = lambda c: D.check_digit(c).cast("string")
     nd = F.when(F.col("c_custkey") % 3 == 0, F.lit("X")).otherwise(digit(number))
     first = F.rpad(F.concat(F.lit("PUTO"), F.col("c_mktsegment"), F.lit("<<ANNA<MARIA")), 43, "<")
-    optional = F.lit("<" * 14)
-    body = F.concat(number, nd, birth, digit(birth), expiry, digit(expiry), optional, F.lit("<"))
+    optional = F.lit("Z" * 14)
+    body = F.concat(number, nd, birth, digit(birth), expiry, digit(expiry), optional, digit(optional))
     second = F.concat(
-        number, nd, F.lit("UTO"), birth, digit(birth), F.lit("F"), expiry, digit(expiry), optional, F.lit("<"), digit(body)
+        number, nd, F.lit("UTO"), birth, digit(birth), F.lit("F"), expiry, digit(expiry), optional, digit(optional), digit(body)
     )
     spaced = F.concat(F.substring(first, 1, 10), F.lit(" "), F.lower(F.substring(first, 11, 40)))
     boxes = F.array(
@@ -94,7 +99,7 @@ def check_digits(spark: SparkSession, folder: str) -> DataFrame:
 
 def mrz_repair(spark: SparkSession, folder: str) -> DataFrame:
     noisy = F.concat(
-        F.lit("P-UTO"), F.upper("c_mktsegment"), F.lit(">>LIL1"), F.upper("c_name"), F.lit("||//x<L<L1L|"), F.lit("LL")
+        F.lit("P-UTO"), F.upper("c_mktsegment"), F.lit(">>LIL1"), F.translate(F.upper("c_name"), "1", "7"), F.lit("||//x<L<L1L|"), F.lit("LL")
     )
     return table(spark, folder, "customer").select("c_custkey", D.repair_fillers(noisy).alias("mrz"))
 
@@ -117,7 +122,7 @@ def passports(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _identity(spark: SparkSession, folder: str) -> DataFrame:
-    number = F.lpad(F.col("c_custkey").cast("string"), 9, "0")
+    number = _number()
     return table(spark, folder, "customer").select(
         F.col("c_custkey").cast("string").alias("request_id"),
         F.concat(F.when(F.col("c_nationkey") % 2 == 0, "Maria").otherwise("Peter"), F.lit(" "), F.initcap("c_mktsegment")).alias("full_name"),
@@ -327,7 +332,7 @@ def _digit(text: str) -> str:
 
 
 _PASSPORT_SQL = f"""
-p AS (SELECT c_custkey, c_mktsegment, c_nationkey, lpad(c_custkey::VARCHAR, 9, '0') AS number,
+p AS (SELECT c_custkey, c_mktsegment, c_nationkey, lpad(replace(c_custkey::VARCHAR, '1', 'K'), 9, '0') AS number,
              make_date(2010 + c_nationkey, 2, 1) AS expiry, c_custkey % 3 <> 0 AS checks FROM customer),
 v AS (SELECT *, expiry <= DATE '{AS_OF}' AS gone FROM p)
 """
@@ -399,7 +404,7 @@ CASE doc_id % 5 WHEN 1 THEN 'Invalid base64 encoding' WHEN 2 THEN 'Decoded image
 FROM documents""",
     "check_digits": f"""WITH t AS (SELECT c_custkey, upper(substr(c_mktsegment, 1, 3) || lpad(c_custkey::VARCHAR, 6, '<')) AS s FROM customer)
 SELECT c_custkey, {_digit('s')}::INTEGER AS digit FROM t""",
-    "mrz_repair": """SELECT c_custkey, rpad('P<UTO' || upper(c_mktsegment) || '<<<<<<' || regexp_replace(upper(c_name), '[^A-Z0-9]', '', 'g')
+    "mrz_repair": """SELECT c_custkey, rpad('P<UTO' || upper(c_mktsegment) || '<<<<<<' || replace(regexp_replace(upper(c_name), '[^A-Z0-9]', '', 'g'), '1', '7')
   || '<<<<' || '<<<<<<<<<', 88, '<') AS mrz FROM customer""",
     "passports": f"""WITH {_PASSPORT_SQL} SELECT c_custkey::VARCHAR AS request_id, checks AND NOT gone AS document_valid, c_mktsegment AS surname,
 'ANNA MARIA' AS given_names, number AS document_number, checks, gone AS is_expired, strftime(expiry, '%Y-%m-%d') AS expiry_date_formatted,
