@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from namesieve.catalog.inputs import sql_lcs, sql_key, table
+from namesieve.catalog.inputs import spread, table
 from namesieve.functions import documents as D
 from namesieve.functions import risk, validation
 from namesieve.functions.countries import country_codes
@@ -250,7 +250,7 @@ def combined_engine_risk(spark: SparkSession, folder: str) -> DataFrame:
 
 def _text_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's whole text as one text box; languages stand in for countries."""
-    return table(spark, folder, "documents").select(
+    return spread(table(spark, folder, "documents"), "doc_id").select(
         F.col("doc_id").cast("string").alias("request_id"),
         F.lit("id_card").alias("document_type"),
         F.col("lang").alias("country"),
@@ -348,11 +348,6 @@ faces AS (SELECT request_id, has_document, several, sim, 1 AS selfies FROM face
 """
 
 
-def _sim(a: str, b: str) -> str:
-    ka, kb = sql_key(a), sql_key(b)
-    return f"(SELECT 2.0::DOUBLE * {sql_lcs('x', 'y')} / (length(x) + length(y)) FROM (SELECT {ka} AS x, {kb} AS y))"
-
-
 _COMPARE_SQL = f"""
 {_PASSPORT_SQL.strip()},
 w AS (SELECT *, CASE WHEN c_nationkey % 2 = 0 THEN 'MARIA' ELSE 'PETER' END AS first,

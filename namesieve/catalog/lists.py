@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from namesieve import schemas
-from namesieve.catalog.inputs import WATCHLIST_SQL, table, watchlist
+from namesieve.catalog.inputs import WATCHLIST_SQL, spread, table, watchlist
 from namesieve.functions import countries, dates
 from namesieve.operators import combine, reports
 from namesieve.sources import eu, ofac, uk, un
@@ -24,7 +24,7 @@ def _order() -> Column:
 
 
 def _lines(spark: SparkSession, folder: str) -> DataFrame:
-    lines, parts = table(spark, folder, "lineitem"), table(spark, folder, "part")
+    lines, parts = spread(table(spark, folder, "lineitem"), "l_orderkey"), table(spark, folder, "part")
     return lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
 
 
@@ -108,7 +108,7 @@ def ofac_normalize(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def uk_normalize(spark: SparkSession, folder: str) -> DataFrame:
-    raw = table(spark, folder, "customer").select(
+    raw = spread(table(spark, folder, "customer"), "c_custkey").select(
         F.col("c_custkey").cast("string").alias("Unique ID"),
         F.when(F.col("c_custkey") % 2 == 0, F.lit("")).otherwise(F.col("c_nationkey").cast("string")).alias("OFSI Group ID"),
         F.concat(F.lit("Dr. "), F.col("c_mktsegment"), F.lit("-"), F.col("c_name"), F.lit(", JR")).alias("Name"),
@@ -163,13 +163,13 @@ def un_normalize(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def ofac_nationalities(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").withColumn("_text", countries.ofac_search_text("text"))
+    docs = spread(table(spark, folder, "documents"), "doc_id").withColumn("_text", countries.ofac_search_text("text"))
     found = countries.ofac_nationalities(F.col("_text"), spark)
     return docs.select("doc_id", F.array_join(found, "; ").alias("nationalities"))
 
 
 def uk_nationalities(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").withColumn("_text", countries.uk_search_text("text"))
+    docs = spread(table(spark, folder, "documents"), "doc_id").withColumn("_text", countries.uk_search_text("text"))
     found = countries.uk_nationalities(F.col("_text"), spark)
     return docs.select("doc_id", F.array_join(found, "; ").alias("nationalities"))
 

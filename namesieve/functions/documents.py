@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from namesieve.functions.dates import mrz_calendar_date, mrz_date
 from namesieve.functions.similarity import name_similarity
-from namesieve.functions.text import _col, blank_null, fill, strip, words
+from namesieve.functions.text import _col, blank_null, fill, let, strip, words
 
 # Layout of the two 44-character lines, as (start, length) in the joined 88.
 LAYOUT = {
@@ -98,6 +98,10 @@ def mrz_fields(text: Column) -> Column:
 
     An empty optional field may carry ``<`` or ``0`` as its check digit.
     """
+    return let(text, _mrz_struct)
+
+
+def _mrz_struct(text: Column) -> Column:
     part = {name: F.substring(text, *span) for name, span in LAYOUT.items()}
     agrees = lambda value, check: check_digit(value).cast("string") == check
     composite = F.concat(
@@ -288,7 +292,10 @@ def first_hit(text: Column, patterns: list[str]) -> Column:
 
 def generic_fields(text) -> Column:
     """Struct of fields found in plain text by the generic patterns."""
-    upper = F.upper(_col(text))
+    return let(F.upper(_col(text)), _generic_struct)
+
+
+def _generic_struct(upper: Column) -> Column:
     none = F.lit(None).cast("string")
     return F.struct(
         first_hit(upper, NAME_PATTERNS).alias("name"),

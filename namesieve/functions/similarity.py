@@ -6,7 +6,7 @@ so at most ``n - LCS`` characters are deleted from ``x`` and ``m - LCS`` inserte
 follows from that:
 
 * lengths: ``200 min(n, m) >= t (n + m)``;
-* characters: a bag of characters hashed to 64 bits differs in at most ``n + m - 2 LCS`` bits;
+* characters: bags of characters, kept as bit sets, differ in at most ``n + m - 2 LCS`` bits;
 * bigrams: a deletion removes at most two distinct bigrams of ``x`` and an insertion one, so ``y``
   has all but ``2 (n - LCS) + (m - LCS)`` of them. Sort them in one fixed order, and any two
   strings that reach the threshold share one of the first few ("prefix") bigrams;
@@ -21,7 +21,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from namesieve.functions.text import _col, words
+from namesieve.functions.text import _col, let, words
 
 MAX_PATTERN = 62  # longest pattern whose bit vector fits one 64-bit word with room for the carry
 MAX_TEXT = 128
@@ -138,8 +138,8 @@ def bigram_budget(n: Column, threshold: float) -> Column:
     return F.floor(n * max(2 - 2 * r, 1 / r - 1) + 1e-9)
 
 
-def join_keys(key: Column, threshold: float, common: list[str]) -> Column:
-    """Prefix bigrams, rarest first, as join keys.
+def join_keys(key: Column, grams: Column, threshold: float, common: list[str]) -> Column:
+    """Prefix bigrams, rarest first, as join keys. ``grams`` are the bigrams of ``key``.
 
     ``common`` lists the most frequent bigrams, commonest first; all others count as rarer. Any list
     keeps results exact, a good one keeps the keys selective. Strings with too few distinct bigrams
@@ -148,6 +148,7 @@ def join_keys(key: Column, threshold: float, common: list[str]) -> Column:
     get one key of their own.
     """
     ranks = F.lit("".join(SEPARATOR + g for g in common) if common else SEPARATOR)
+    count = F.size(grams)
     top = 3 * len(common) + 10
 
     def ranked(gram: Column) -> Column:
@@ -157,24 +158,43 @@ def join_keys(key: Column, threshold: float, common: list[str]) -> Column:
 
     n = F.length(key)
     budget = bigram_budget(n, threshold)
-    grams = F.sort_array(F.transform(bigrams(key), ranked))
-    prefix = F.slice(grams, F.lit(1), (budget + 1).cast("int"))
-    weak = F.size(grams) - budget < 1
+    prefix = F.slice(F.sort_array(F.transform(grams, ranked)), F.lit(1), (budget + 1).cast("int"))
+    weak = count - budget < 1
     keys = F.when(weak, F.concat(prefix, F.array_distinct(_chars(key)))).otherwise(prefix)
     blank = F.array(F.lit(""))
     return F.coalesce(F.when(n == 0, blank).otherwise(keys), blank)
 
 
-def char_mask(key: Column) -> Column:
-    """64-bit hash of the bag of characters: one bit per (character, occurrence)."""
-    ordered = F.sort_array(_chars(key))
-    bits = F.transform(
-        ordered,
-        lambda ch, i: F.call_function(
-            "shiftleft",
-            F.lit(1).cast("long"),
-            F.pmod(F.ascii(ch) * 5 + (i + 1 - F.array_position(ordered, ch)) * 29, F.lit(64)).cast("int"),
+def bag_slots(key: Column) -> Column:
+    """A number from 0 to 255 for every (character, occurrence) of a string.
+
+    Up to nine occurrences of each letter have numbers of their own; anything beyond may share one,
+    which can only make two bags look more alike.
+    """
+    return let(
+        F.sort_array(_chars(key)),
+        lambda ordered: F.transform(
+            ordered,
+            lambda ch, i: F.pmod(F.ascii(ch) * 9 + (i + 1 - F.array_position(ordered, ch)), F.lit(256)).cast("int"),
         ),
     )
-    zero = F.lit(0).cast("long")
-    return F.coalesce(F.aggregate(bits, zero, lambda acc, bit: acc.bitwiseOR(bit)), zero)
+
+
+def char_masks(slots: Column) -> list[Column]:
+    """The numbers of :func:`bag_slots` as 256 bits in four integers."""
+    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
+
+    def word(w: int) -> Column:
+        def add(acc: Column, slot: Column) -> Column:
+            here = slot.between(64 * w, 64 * w + 63)
+            return F.when(here, acc.bitwiseOR(F.call_function("shiftleft", one, slot - 64 * w))).otherwise(acc)
+
+        return F.coalesce(F.aggregate(slots, zero, add), zero)
+
+    return [word(w) for w in range(4)]
+
+
+def masks_differ(left: list[Column], right: list[Column]) -> Column:
+    """Number of bits in which two bags differ: a lower bound on insertions plus deletions."""
+    bits = [F.bit_count(a.bitwiseXOR(b)) for a, b in zip(left, right, strict=True)]
+    return bits[0] + bits[1] + bits[2] + bits[3]

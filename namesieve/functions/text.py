@@ -10,12 +10,20 @@ import unicodedata
 from collections.abc import Callable, Iterable, Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 WS = r"(?U)[\s\x1c-\x1f]+"
-EDGE_WS = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+# The same characters one by one, for trimming.
+WHITESPACE = (
+    " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+    "\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+# Anything a clean-up step could change. Most values have nothing of the kind and skip the steps.
+ODD = r"[^!-~ ]|  "
+NON_ASCII = r"[^\x00-\x7F]"
+MARK = "\x02"
 
 
 @F.pandas_udf(StringType())
@@ -45,16 +53,27 @@ def lookup_table(mapping: Mapping[str, str]) -> Column:
 def nfkc(c) -> Column:
     """Unicode NFKC. Only non-ASCII values reach Python; the rest cross as nulls."""
     c = _col(c)
-    return F.coalesce(_nfkc(F.when(c.rlike(r"[^\x00-\x7F]"), c)), c)
+    return F.coalesce(_nfkc(F.when(c.rlike(NON_ASCII), c)), c)
+
+
+def nfkc_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Unicode NFKC of many text columns with one call to Python for each row that needs it."""
+    joined = F.concat_ws(MARK, *[fill(c) for c in columns])
+    df = df.withColumn("_joined", joined)
+    odd = F.when(F.col("_joined").rlike(NON_ASCII), F.col("_joined"))
+    df = df.withColumn("_parts", F.split(_nfkc(odd), MARK))
+    changed = {c: F.when(F.col(c).isNotNull(), F.coalesce(F.get("_parts", i), c)) for i, c in enumerate(columns)}
+    return df.withColumns(changed).drop("_joined", "_parts")
 
 
 def strip(c) -> Column:
-    return F.regexp_replace(_col(c), EDGE_WS, "")
+    return F.btrim(_col(c), F.lit(WHITESPACE))
 
 
 def collapse_ws(c) -> Column:
     """One space for every run of whitespace, none at the ends."""
-    return F.trim(F.regexp_replace(_col(c), WS, " "))
+    c = _col(c)
+    return F.trim(F.when(c.rlike(ODD), F.regexp_replace(c, WS, " ")).otherwise(c))
 
 
 def blank_null(c) -> Column:
@@ -67,18 +86,25 @@ def fill(c) -> Column:
     return F.coalesce(_col(c), F.lit(""))
 
 
-def clean_text(c) -> Column:
-    """Null to empty, NFKC, whitespace collapsed and trimmed."""
-    return collapse_ws(fill(nfkc(c)))
+def clean_text(c, normalized: bool = False) -> Column:
+    """Null to empty, NFKC, whitespace collapsed and trimmed.
 
+    ``normalized`` leaves NFKC out, for columns that went through :func:`nfkc_columns`.
+    """
+    return collapse_ws(fill(c if normalized else nfkc(c)))
 
-def clean_name(c) -> Column:
-    """``clean_text`` for names: control characters dropped, quotes straightened."""
-    c = F.regexp_replace(strip(fill(nfkc(c))), WS, " ")
+
+def _name_steps(c: Column) -> Column:
+    c = F.regexp_replace(strip(c), WS, " ")
     c = F.regexp_replace(c, r"[\x00-\x1f\x7f-\x9f]", "")
     c = F.translate(c, "‘’“”", "''\"\"")
-    c = F.regexp_replace(c, r"\p{C}", "")
-    return strip(c)
+    return strip(F.regexp_replace(c, r"\p{C}", ""))
+
+
+def clean_name(c, normalized: bool = False) -> Column:
+    """``clean_text`` for names: control characters dropped, quotes straightened."""
+    c = fill(c if normalized else nfkc(c))
+    return F.when(c.rlike(ODD), _name_steps(c)).otherwise(F.trim(c))
 
 
 def search_text(c) -> Column:
