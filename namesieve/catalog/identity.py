@@ -138,11 +138,11 @@ def _identity(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _faces(spark: SparkSession, folder: str) -> DataFrame:
-    """Every embedding as a selfie, the next one of the same hundred as the document's face."""
+    """Every embedding as a selfie, the one before it as the document's face."""
     vectors = table(spark, folder, "embeddings")
     request = F.col("vec_id").cast("string")
     selfie = vectors.select(request.alias("request_id"), F.lit("selfie").alias("side"), F.lit(0).alias("face_index"), "embedding")
-    document = vectors.where("vec_id % 10 <> 9").select(
+    document = vectors.select(
         (F.col("vec_id") + 1).cast("string").alias("request_id"),
         F.lit("document").alias("side"),
         F.lit(0).alias("face_index"),
@@ -217,7 +217,7 @@ def kyc_engine_risk(spark: SparkSession, folder: str) -> DataFrame:
 def _halves(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     none = F.array().cast(f"array<{risk.FACTOR}>")
     orders = table(spark, folder, "orders").select(
-        F.col("o_orderkey").cast("string").alias("request_id"), F.col("o_orderkey").alias("k")
+        F.col("o_orderkey").cast("string").alias("request_id"), F.col("o_orderkey").alias("k"), "o_orderstatus", "o_orderpriority"
     )
     half = lambda step: F.struct((F.col("k") * step % 21 * 5).cast("int").alias("risk_score"))
     factor = F.array(risk.factor("kind", "low", F.concat(F.lit("factor "), F.col("request_id"))))
@@ -227,7 +227,8 @@ def _halves(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
         risk.risk_level(half(step)["risk_score"]).alias("risk_level"),
         f.alias("risk_factors"),
     )
-    return build(orders.where("k % 5 <> 0"), 3, none), build(orders.where("k % 7 <> 0"), 8, factor)
+    screened, verified = orders.where("o_orderstatus <> 'P'"), orders.where("o_orderpriority <> '1-URGENT'")
+    return build(screened, 3, none), build(verified, 8, factor)
 
 
 def combined_risk(spark: SparkSession, folder: str) -> DataFrame:
@@ -272,19 +273,18 @@ def field_extract(spark: SparkSession, folder: str) -> DataFrame:
 
 RULES = [
     ("en", "id_card", r'token = "([0-9a-f]+)"', r"([A-Z][a-z]+) the", r"(\d{3}-\d{4})", r"mail(\d+)\."),
-    ("de", "", r"@mail(\d+)", r"([a-z]+)\.\d+@", r"(\d+\.\d+\.\d+\.\d+)", r"nothing (here)"),
+    *[(c, "", r"@mail(\d+)", r"([a-z]+)\.\d+@", r"(\d+\.\d+\.\d+\.\d+)", r"nothing (here)") for c in ("de", "fr", "es")],
 ]
 
 
 def rule_extract(spark: SparkSession, folder: str) -> DataFrame:
-    """Extraction by rules for two languages, generic patterns for the others left out."""
+    """Extraction by rules, one for a language and document type, the others for a language."""
     fields = "struct<document_number:string,name:string,date_of_birth:string,expiry_date:string>"
     rules = spark.createDataFrame(
         [(c, t, (n, a, b, e)) for c, t, n, a, b, e in RULES],
         f"country_code string, document_type string, extraction_patterns {fields}",
     )
-    documents = _text_documents(spark, folder).where(F.col("country").isin("en", "de"))
-    read = kyc.read_documents(documents, _as_of(), rules)
+    read = kyc.read_documents(_text_documents(spark, folder), _as_of(), rules)
     return read.select(
         "request_id",
         "document_valid",
@@ -339,12 +339,12 @@ v AS (SELECT *, expiry <= DATE '{AS_OF}' AS gone FROM p)
 _FACE_SQL = """
 face AS (SELECT a.vec_id::VARCHAR AS request_id, d.vec_id IS NOT NULL AS has_document, a.label = 3 AS several,
   list_cosine_similarity(a.embedding::DOUBLE[], d.embedding::DOUBLE[]) AS sim
-  FROM embeddings a LEFT JOIN (SELECT * FROM embeddings WHERE vec_id % 10 <> 9) d ON d.vec_id + 1 = a.vec_id)
+  FROM embeddings a LEFT JOIN embeddings d ON d.vec_id + 1 = a.vec_id)
 """
 # Faces of documents without a selfie of their own: the last embedding's successor.
 _FACE_ALL = """
 faces AS (SELECT request_id, has_document, several, sim, 1 AS selfies FROM face
-  UNION ALL SELECT (max(vec_id) + 1)::VARCHAR, true, false, NULL, 0 FROM embeddings HAVING max(vec_id) % 10 <> 9)
+  UNION ALL SELECT (max(vec_id) + 1)::VARCHAR, true, false, NULL, 0 FROM embeddings)
 """
 
 
@@ -450,12 +450,13 @@ d AS (SELECT o_orderkey, list_filter(l, {_NONNULL}) AS l FROM c),
 e AS (SELECT o_orderkey, least(100, coalesce(list_sum(list_transform(l, lambda z: z.p)), 0))::INTEGER AS risk_score,
   array_to_string(list_transform(l, lambda z: z.f), '; ') AS risk_factors FROM d)
 SELECT *, CASE WHEN risk_score >= 70 THEN 'high' WHEN risk_score >= 40 THEN 'medium' ELSE 'low' END AS risk_level FROM e""",
-    "combined_risk": """WITH s AS (SELECT o_orderkey::VARCHAR AS request_id, o_orderkey AS k, (o_orderkey * 3 % 21 * 5)::INT AS a, (o_orderkey * 8 % 21 * 5)::INT AS y FROM orders),
-c AS (SELECT *, round(a * 0.6::DOUBLE + y * 0.4::DOUBLE, 2) AS score FROM s WHERE k % 5 <> 0 AND k % 7 <> 0)
+    "combined_risk": """WITH s AS (SELECT o_orderkey::VARCHAR AS request_id, o_orderkey AS k, (o_orderkey * 3 % 21 * 5)::INT AS a, (o_orderkey * 8 % 21 * 5)::INT AS y
+  FROM orders WHERE o_orderstatus <> 'P' AND o_orderpriority <> '1-URGENT'),
+c AS (SELECT *, round(a * 0.6::DOUBLE + y * 0.4::DOUBLE, 2) AS score FROM s)
 SELECT request_id, score AS combined_risk_score, CASE WHEN score >= 70 THEN 'high' WHEN score >= 30 THEN 'medium' ELSE 'low' END AS combined_risk_level,
 1::BIGINT AS factors, 'AML screening completed with risk score: ' || a || '; KYC verification completed with status: completed' AS details FROM c""",
     "combined_engine_risk": """WITH s AS (SELECT o_orderkey::VARCHAR AS request_id, o_orderkey AS k,
-  CASE WHEN o_orderkey % 5 <> 0 THEN (o_orderkey * 3 % 21 * 5)::INT END AS a, CASE WHEN o_orderkey % 7 <> 0 THEN (o_orderkey * 8 % 21 * 5)::INT END AS y FROM orders),
+  CASE WHEN o_orderstatus <> 'P' THEN (o_orderkey * 3 % 21 * 5)::INT END AS a, CASE WHEN o_orderpriority <> '1-URGENT' THEN (o_orderkey * 8 % 21 * 5)::INT END AS y FROM orders),
 c AS (SELECT *, least(100, floor(coalesce(a * 0.6::DOUBLE + y * 0.4::DOUBLE, a, y)))::INTEGER AS score FROM s WHERE a IS NOT NULL OR y IS NOT NULL)
 SELECT request_id, score AS risk_score, CASE WHEN score >= 70 THEN 'high' WHEN score >= 40 THEN 'medium' ELSE 'low' END AS risk_level,
 (y IS NOT NULL)::BIGINT AS factors FROM c""",
@@ -465,7 +466,7 @@ f AS (SELECT doc_id, coalesce({_FIRST('s', r'\b([A-Z0-9]{6,20})\b')}, {_FIRST('s
  {_FIRST('s', r'NAME[:\s]+([A-Z\s]{3,50})')} AS name FROM t)
 SELECT doc_id::VARCHAR AS request_id, number IS NOT NULL AS document_valid, number AS document_number, birth AS date_of_birth, name,
 0.6::DOUBLE AS ocr_confidence FROM f""",
-    "rule_extract": """WITH t AS (SELECT doc_id, lang, text || ' end' AS s FROM documents WHERE lang IN ('en', 'de')),
+    "rule_extract": """WITH t AS (SELECT doc_id, lang, text || ' end' AS s FROM documents),
 f AS (SELECT doc_id, lang, CASE lang WHEN 'en' THEN regexp_extract(s, 'token = "([0-9a-f]+)"', 1) ELSE regexp_extract(s, '@mail(\\d+)', 1) END AS number,
  CASE lang WHEN 'en' THEN regexp_extract(s, '([A-Z][a-z]+) the', 1) ELSE regexp_extract(s, '([a-z]+)\\.\\d+@', 1) END AS name,
  CASE lang WHEN 'en' THEN regexp_extract(s, '(\\d{3}-\\d{4})', 1) ELSE regexp_extract(s, '(\\d+\\.\\d+\\.\\d+\\.\\d+)', 1) END AS birth FROM t)
