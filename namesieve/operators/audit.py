@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 from namesieve import schemas
-from namesieve.functions.text import fill
+from namesieve.functions.text import fill, strip
 
 # Size limits of logged payloads and the days audit data is kept.
 MAX_TEXT, MAX_ITEMS, RETENTION_DAYS = 1000, 10, 30
@@ -110,8 +110,9 @@ def error_events(df: DataFrame, event_type: str, timestamp: Column, error: Colum
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """JSON-lines events; blank and unreadable lines are left out."""
     schema = f"{schemas.AUDIT_EVENT}, _corrupt_record string"
-    raw = spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
-    return raw.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+    lines = spark.read.text(path).where(strip("value") != "")
+    parsed = lines.select(F.from_json("value", schema).alias("e"))
+    return parsed.where(F.col("e._corrupt_record").isNull()).select("e.*").drop("_corrupt_record")
 
 
 def write_events(events: DataFrame, path: str) -> None:
