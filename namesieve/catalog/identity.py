@@ -177,9 +177,6 @@ def _flat(df: DataFrame) -> DataFrame:
 
 
 def mrz_compare(spark: SparkSession, folder: str) -> DataFrame:
-    shown = lambda m: F.concat_ws(
-        "|", m["field"], m["mrz_value"], m["request_value"], F.format_string("%.4f", m["similarity"])
-    )
     compared = _verified(spark, folder).select("request_id", "comparison.*")
     return compared.select(
         "request_id",
