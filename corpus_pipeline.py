@@ -9,25 +9,39 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from namesieve.llm import quality_rules, temperature_mix
+from namesieve.llm import nnls_packing, quality_rules, simhash_bk, temperature_mix
+from namesieve.llm.shared import written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.clean(docs, size_col="n_chars")
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash_bk.keep_one(docs)
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return temperature_mix.mix(docs).drop("mixed")
 
 
-STAGES = [("quality rules", quality), ("mixing", mixing)]
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return nnls_packing.pack(docs)
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("simhash near-duplicates", near_duplicates),
+    ("mixing", mixing),
+    ("packing", packing),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
 QUERIES = {"pipeline": run}

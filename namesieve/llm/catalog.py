@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from namesieve.llm import quality_rules, temperature_mix
+from namesieve.llm import nnls_packing, quality_rules, simhash_bk, temperature_mix, token_store
+from namesieve.llm.shared import new_folder
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -16,6 +17,20 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.assess(_table(spark, folder, "documents").select("doc_id", "text"))
 
 
+def op2_token_store(spark: SparkSession, folder: str) -> DataFrame:
+    store = new_folder(spark, "token-store")
+    token_store.write(_table(spark, folder, "documents"), store)
+    return token_store.digests(spark, store)
+
+
+def op3_nnls_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return nnls_packing.pack(_table(spark, folder, "documents"))
+
+
+def op6_simhash_bk(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash_bk.near_duplicates(_table(spark, folder, "documents"))
+
+
 def op9_temperature_mix(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "source", "text")
     mixed = temperature_mix.mix(docs).select("doc_id", "source", "mixed.copy", "mixed.block", "mixed.draw", "mixed.weight")
@@ -94,5 +109,11 @@ FROM (SELECT doc_id, d.source, d.block, weight, unnest(range(1, copies + 1)) AS
       FROM docs d JOIN copies c ON d.source IS NOT DISTINCT FROM c.source AND d.block = c.block)
 """
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op9_temperature_mix": op9_temperature_mix}
+QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
+    "op2_token_store": op2_token_store,
+    "op3_nnls_packing": op3_nnls_packing,
+    "op6_simhash_bk": op6_simhash_bk,
+    "op9_temperature_mix": op9_temperature_mix,
+}
 ORACLES = {"op1_quality_rules": OP1_SQL, "op9_temperature_mix": OP9_SQL}
