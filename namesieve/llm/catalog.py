@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from namesieve.llm import (
+    bloom_lm,
     chat_log,
+    crf_extract,
     nnls_packing,
     projection_passes,
     quality_rules,
@@ -45,6 +47,10 @@ def op4_chat_log(spark: SparkSession, folder: str) -> DataFrame:
     return chat_log.summaries(written(chat_log.messages(chat_log.log_of(turns)), "chat-messages"))
 
 
+def op5_bloom_lm(spark: SparkSession, folder: str) -> DataFrame:
+    return bloom_lm.score(_table(spark, folder, "documents"))
+
+
 def op6_simhash_bk(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_bk.near_duplicates(_table(spark, folder, "documents"))
 
@@ -79,6 +85,10 @@ def op9_temperature_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.withColumn("weight", F.round("weight", 9))
 
 
+def op10_crf_extract(spark: SparkSession, folder: str) -> DataFrame:
+    return crf_extract.extract(_table(spark, folder, "pages"))
+
+
 _WS = r"[\x20\x09-\x0D]+"
 _WORDS = rf"list_filter(string_split_regex(coalesce(text, ''), '{_WS}'), lambda w: w <> '')"
 _SPOKEN = rf"list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_replace(l, '{_WS}', '', 'g') <> '')"
@@ -175,9 +185,11 @@ QUERIES = {
     "op2_token_store": op2_token_store,
     "op3_nnls_packing": op3_nnls_packing,
     "op4_chat_log": op4_chat_log,
+    "op5_bloom_lm": op5_bloom_lm,
     "op6_simhash_bk": op6_simhash_bk,
     "op7_url_digests": op7_url_digests,
     "op8_projection_passes": op8_projection_passes,
     "op9_temperature_mix": op9_temperature_mix,
+    "op10_crf_extract": op10_crf_extract,
 }
 ORACLES = {"op1_quality_rules": OP1_SQL, "op7_url_digests": OP7_SQL, "op9_temperature_mix": OP9_SQL}

@@ -135,7 +135,8 @@ def placed_blocks(spark: SparkSession, folder: str) -> DataFrame:
     # One row per shard, that is per file: the only thing that is ordered as a whole.
     before = F.sum("total").over(Window.orderBy("shard")) - F.col("total")
     places = totals.select(F.col("shard").alias("of_shard"), before.alias("before"))
-    joined = blocks.join(places, F.col("shard") == F.col("of_shard"))
+    # 16 bytes a shard, so bounded by the number of files: broadcast, or the payloads would be shuffled for it.
+    joined = blocks.join(F.broadcast(places), F.col("shard") == F.col("of_shard"))
     return joined.withColumn("start", F.col("before") + F.col("offset")).drop("of_shard", "before")
 
 
