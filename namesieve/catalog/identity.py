@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from namesieve.catalog.inputs import spread, table
+from namesieve.catalog.inputs import table
 from namesieve.functions import documents as D
 from namesieve.functions import risk, validation
 from namesieve.functions.countries import country_codes
@@ -248,7 +248,7 @@ def combined_engine_risk(spark: SparkSession, folder: str) -> DataFrame:
 
 def _text_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's whole text as one text box; languages stand in for countries."""
-    return spread(table(spark, folder, "documents"), "doc_id").select(
+    return table(spark, folder, "documents").select(
         F.col("doc_id").cast("string").alias("request_id"),
         F.lit("id_card").alias("document_type"),
         F.col("lang").alias("country"),

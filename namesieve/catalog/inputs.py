@@ -14,15 +14,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Spread a table that is read by fewer tasks than there are cores, for costly work per row.
-
-    The test files are single and small; a table of many files is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(cores, key)
-
-
 def _case(key: str, *values: str) -> str:
     whens = " ".join(f"WHEN {key} % {len(values)} = {i} THEN {v}" for i, v in enumerate(values))
     return f"CASE {whens} END"

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from namesieve.catalog.inputs import REQUESTS_SQL, requests, table
-from namesieve.catalog.screening import work_folder
 from namesieve.operators import audit
+from namesieve.session import shared_folder
 from namesieve.streaming.screening import audit_stream
 
 KINDS = {"view": "aml_screening", "signup": "kyc_verification", "purchase": "combined_risk_assessment"}
@@ -124,7 +124,7 @@ def _stream_rows() -> dict[str, Column]:
 
 def audit_stream_once(spark: SparkSession, folder: str) -> DataFrame:
     """Events arriving as a stream, stored once per user and type, read back as (user, type)."""
-    base = work_folder(spark)
+    base = shared_folder(spark, "audit")
     cells = [c.alias(n) for n, c in _stream_rows().items()]
     table(spark, folder, "events").select(*cells).write.parquet(f"{base}/events")
     stream = spark.readStream.schema("request_id string, event_type string, timestamp string").parquet(f"{base}/events")

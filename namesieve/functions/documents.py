@@ -181,7 +181,7 @@ def request_names(full_name: Column) -> tuple[Column, Column]:
     """First word, and the remaining words (the only word again when there is just one)."""
     parts = words(fill(full_name))
     first = fill(F.get(parts, 0))
-    rest = F.array_join(F.slice(parts, 2, 10_000), " ")
+    rest = F.array_join(F.slice(parts, F.lit(2), F.size(parts)), " ")
     return first, F.when(F.size(parts) > 1, rest).otherwise(first)
 
 

@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterable, Mapping, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 WS = r"(?U)[\s\x1c-\x1f]+"
 # The same characters one by one, for trimming.
@@ -23,7 +23,6 @@ WHITESPACE = (
 # Anything a clean-up step could change. Most values have nothing of the kind and skip the steps.
 ODD = r"[^!-~ ]|  "
 NON_ASCII = r"[^\x00-\x7F]"
-MARK = "\x02"
 
 
 @F.pandas_udf(StringType())
@@ -31,6 +30,14 @@ def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 
 
+@F.pandas_udf(ArrayType(ArrayType(StringType())))
+def _nfkc_cells(rows: pd.Series) -> pd.Series:
+    def cell(items):
+        return None if items is None else [None if t is None else unicodedata.normalize("NFKC", t) for t in items]
+
+    return rows.map(lambda cells: [cell(c) for c in cells], na_action="ignore")
+
+
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -57,13 +64,16 @@ def nfkc(c) -> Column:
 
 
 def nfkc_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Unicode NFKC of many text columns with one call to Python for each row that needs it."""
-    joined = F.concat_ws(MARK, *[fill(c) for c in columns])
-    df = df.withColumn("_joined", joined)
-    odd = F.when(F.col("_joined").rlike(NON_ASCII), F.col("_joined"))
-    df = df.withColumn("_parts", F.split(_nfkc(odd), MARK))
-    changed = {c: F.when(F.col(c).isNotNull(), F.coalesce(F.get("_parts", i), c)) for i, c in enumerate(columns)}
-    return df.withColumns(changed).drop("_joined", "_parts")
+    """Unicode NFKC of many text (or array of text) columns with one call to Python for each row that needs it."""
+    listed = {c: df.schema[c].dataType.typeName() == "array" for c in columns}
+    cells = F.array(*[F.col(c) if many else F.array(c) for c, many in listed.items()])
+    odd = F.exists(F.flatten(F.filter(cells, lambda x: x.isNotNull())), lambda t: fill(t).rlike(NON_ASCII))
+    df = df.withColumn("_cells", _nfkc_cells(F.when(odd, cells)))
+    changed = {}
+    for i, (c, many) in enumerate(listed.items()):
+        found = F.get("_cells", i) if many else F.get(F.get("_cells", i), 0)
+        changed[c] = F.when(F.col(c).isNotNull(), F.coalesce(found, c))
+    return df.withColumns(changed).drop("_cells")
 
 
 def strip(c) -> Column:

@@ -6,9 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from namesieve.functions.risk import aml_details, aml_score, risk_level
-from namesieve.operators.match import match_rollup, screen_summary
-
-PAGE = 1000
+from namesieve.operators.match import screen_summary
 
 
 def score_summary(summary: DataFrame) -> DataFrame:
@@ -39,29 +37,18 @@ def assess(requests: DataFrame, watchlist: DataFrame, **options) -> DataFrame:
     return score_summary(screen_summary(requests, watchlist, **options))
 
 
-def responses(assessed: DataFrame, matches: DataFrame, page_size: int = PAGE) -> DataFrame:
-    """One response per request with its matches nested.
+def responses(assessed: DataFrame, matches: DataFrame) -> DataFrame:
+    """One response per request with all its matches nested, in order.
 
-    A request with more than ``page_size`` matches gets several rows, numbered by ``page``: matches
-    are spread over pages by hash, so no task ever collects an unbounded list, and none is dropped.
+    A request's matches make up one cell of its response, so they meet in one row; jobs that go on
+    with matches use the table of matches itself.
     """
     fields = [c for c in matches.columns if c != "request_id"]
-    pages = match_rollup(matches).select(
-        "request_id", F.ceil(F.col("match_count") / page_size).cast("int").alias("_pages")
-    )
-    paged = matches.join(pages, "request_id").withColumn("page", F.pmod(F.xxhash64(*fields), F.col("_pages")).cast("int"))
-    nested = paged.groupBy("request_id", "page").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("matches"))
+    nested = matches.groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("matches"))
     empty = F.array().cast(nested.schema["matches"].dataType)
     head = "request_id sanctions_match pep_match risk_score risk_level details".split()
-    return (
-        assessed.select(*head)
-        .join(nested, "request_id", "left")
-        .select(
-            *head,
-            F.coalesce("page", F.lit(0)).alias("page"),
-            F.coalesce("matches", empty).alias("matches"),
-        )
-    )
+    joined = assessed.select(*head).join(nested, "request_id", "left")
+    return joined.select(*head, F.coalesce("matches", empty).alias("matches"))
 
 
 def constraint_violations(responses: DataFrame, matches: DataFrame | None = None) -> DataFrame:

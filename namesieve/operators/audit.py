@@ -182,17 +182,22 @@ def last_events(events: DataFrame, n: int = 10) -> DataFrame:
     return events.orderBy(F.desc("timestamp"), F.desc("request_id")).limit(n)
 
 
+def _order(columns) -> Column:
+    """By time; of events of one time the last in the order of their contents."""
+    return F.struct("timestamp", F.to_json(F.struct(*columns)))
+
+
 def latest_event(events: DataFrame, request_id: str, event_type: str | None = None) -> DataFrame:
     """The latest event of a request, optionally of one type; no row when there is none."""
     hits = events.where(F.col("request_id") == request_id)
     if event_type:
         hits = hits.where(F.col("event_type") == event_type)
-    latest = hits.agg(F.max_by(F.struct(*events.columns), "timestamp").alias("e"))
+    latest = hits.agg(F.max_by(F.struct(*events.columns), _order(events.columns)).alias("e"))
     return latest.where(F.col("e").isNotNull()).select("e.*")
 
 
 def latest_events(events: DataFrame) -> DataFrame:
     """The latest event of every request and type."""
     rest = [c for c in events.columns if c not in ("request_id", "event_type")]
-    latest = F.max_by(F.struct(*rest), "timestamp").alias("e")
+    latest = F.max_by(F.struct(*rest), _order(rest)).alias("e")
     return events.groupBy("request_id", "event_type").agg(latest).select("request_id", "event_type", "e.*")

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,13 +34,27 @@ def build_session(app_name: str = "namesieve", master: str | None = None, **conf
     return spark
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's checkpoint folder and read it back.
+def ship_package(spark: SparkSession) -> None:
+    """Give executors the package, once per session's context.
 
-    Used where a later step needs the very same rows and row order twice. The folder comes from
-    ``spark.checkpoint.dir``; only a local session without one gets a folder of its own.
+    Functions that tasks run are pickled by name. Spark copies the archive to every executor, so it need not be in
+    a shared folder. Clusters that install the package, or name it in ``spark.submit.pyFiles``, need no call.
     """
-    spark = df.sparkSession
+    context = spark.sparkContext
+    if getattr(context, "_namesieve_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    with tempfile.TemporaryDirectory(prefix="namesieve-") as folder:
+        archive = Path(folder) / "namesieve.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for file in sorted(package.rglob("*.py")):
+                out.write(file, file.relative_to(package.parent))
+        context.addPyFile(str(archive))
+    context._namesieve_shipped = True
+
+
+def _use_shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, from ``spark.checkpoint.dir``; only a local session may lack one."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -46,4 +63,18 @@ def materialize(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="spark-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """The path of a new folder that driver and executors share; nothing is created yet."""
+    return f"{_use_shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the cluster's checkpoint folder and read it back.
+
+    Used where a later step needs the very same rows and row order twice.
+    """
+    _use_shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

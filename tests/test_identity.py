@@ -235,3 +235,15 @@ def test_whole_assessment(spark):
     got = assess_batch(requests, watchlist, docs, face, as_of()).first()
     assert (got.aml_risk_score, got.kyc_risk_score, got.combined_risk_score, got.combined_risk_level) == (80, 80, 80.0, "high")
     assert got.risk_factors[0].description == "Document expired on 2012-04-15" and got.risk_factors[0].days_expired == 4309
+
+
+def test_names_of_any_length_are_whole(spark):
+    from namesieve.functions.documents import request_names
+    from namesieve.sources.ofac import name_parts
+
+    long = " ".join(f"w{i}" for i in range(20_000))
+    df = spark.createDataFrame([(long,)], "n string")
+    first, last = df.select(*request_names(F.col("n"))).first()
+    assert first == "w0" and last.split() == long.split()[1:]
+    fourth = df.select(name_parts(F.col("n"))["fourth"]).first()[0]
+    assert fourth.split() == long.split()[3:]

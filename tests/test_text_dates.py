@@ -97,3 +97,11 @@ def test_mrz_dates(one):
     assert one(dates.mrz_calendar_date("d"), d="701332") is None
     assert one(dates.mrz_calendar_date("d"), d="301231") == datetime.date(2030, 12, 31)
     assert one(dates.mrz_date("d"), d="3A1231") is None
+
+
+def test_nfkc_of_columns_keeps_control_characters_in_their_column(spark):
+    from namesieve.functions.text import nfkc_columns
+
+    rows = [("caf\u00e9\x02X", "B", ["\uff21", None]), ("x\x01", None, None), (None, "\uff22\x01", [])]
+    df = nfkc_columns(spark.createDataFrame(rows, "a string, b string, c array<string>"), ["a", "b", "c"])
+    assert [tuple(r) for r in df.collect()] == [("caf\u00e9\x02X", "B", ["A", None]), ("x\x01", None, None), (None, "B\x01", [])]
