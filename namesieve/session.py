@@ -44,12 +44,12 @@ def ship_package(spark: SparkSession) -> None:
     if getattr(context, "_namesieve_shipped", False):
         return
     package = Path(__file__).resolve().parent
-    with tempfile.TemporaryDirectory(prefix="namesieve-") as folder:
-        archive = Path(folder) / "namesieve.zip"
-        with zipfile.ZipFile(archive, "w") as out:
-            for file in sorted(package.rglob("*.py")):
-                out.write(file, file.relative_to(package.parent))
-        context.addPyFile(str(archive))
+    # The driver serves the archive from here as long as it runs.
+    archive = Path(tempfile.mkdtemp(prefix="spark-")).resolve() / "namesieve.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(archive))
     context._namesieve_shipped = True
 
 
