@@ -57,12 +57,16 @@ def _raw_eu(spark: SparkSession, folder: str) -> DataFrame:
     return raw.select("ord", *[cells.get(c, none).alias(c) for c in schemas.EU_COLUMNS])
 
 
-def eu_normalize(spark: SparkSession, folder: str) -> DataFrame:
+def _shown_eu(out: DataFrame) -> DataFrame:
     kept = (
         "record_type dataid name first_name second_name third_name aliases nationalities pob_cities pob_countries "
         "dob_dates dob_years listed_on last_updated addresses id_numbers"
     ).split()
-    return eu.normalize_eu(_raw_eu(spark, folder)).select(*kept)
+    return out.select(*kept)
+
+
+def eu_normalize(spark: SparkSession, folder: str) -> DataFrame:
+    return _shown_eu(eu.normalize_eu(_raw_eu(spark, folder)))
 
 
 def _alt(spark: SparkSession, folder: str) -> DataFrame:
@@ -91,8 +95,8 @@ def address_rollup(spark: SparkSession, folder: str) -> DataFrame:
     return ofac.address_rollup(_add(spark, folder)).select("ent_num", "addresses")
 
 
-def ofac_normalize(spark: SparkSession, folder: str) -> DataFrame:
-    sdn = table(spark, folder, "orders").select(
+def _sdn(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "orders").select(
         F.col("o_orderkey").cast("string").alias("ent_num"),
         F.concat(
             F.col("o_orderstatus"), F.when(F.col("o_orderkey") % 2 == 0, ", ").otherwise(" "),
@@ -102,13 +106,19 @@ def ofac_normalize(spark: SparkSession, folder: str) -> DataFrame:
         F.col("o_orderpriority").alias("program"),
         F.lit(None).cast("string").alias("remarks"),
     )
-    out = ofac.normalize_ofac(sdn, _alt(spark, folder), _add(spark, folder), AS_OF)
+
+
+def ofac_normalize(spark: SparkSession, folder: str) -> DataFrame:
+    return _shown_ofac(ofac.normalize_ofac(_sdn(spark, folder), _alt(spark, folder), _add(spark, folder), AS_OF))
+
+
+def _shown_ofac(out: DataFrame) -> DataFrame:
     kept = "record_type dataid name first_name middle_name last_name aliases nationalities addresses program last_updated"
     return out.select(*kept.split())
 
 
-def uk_normalize(spark: SparkSession, folder: str) -> DataFrame:
-    raw = table(spark, folder, "customer").select(
+def _raw_uk(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "customer").select(
         F.col("c_custkey").cast("string").alias("Unique ID"),
         F.when(F.col("c_custkey") % 2 == 0, F.lit("")).otherwise(F.col("c_nationkey").cast("string")).alias("OFSI Group ID"),
         F.concat(F.lit("Dr. "), F.col("c_mktsegment"), F.lit("-"), F.col("c_name"), F.lit(", JR")).alias("Name"),
@@ -117,14 +127,20 @@ def uk_normalize(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("Asset  freeze").alias("Sanctions Imposed"),
         F.when(F.col("c_nationkey") % 2 == 0, "UK").otherwise("UN").alias("Designation Source"),
     )
+
+def _shown_uk(out: DataFrame) -> DataFrame:
     kept = "dataid reference_number record_type name first_name middle_name last_name nationalities program comments"
-    return uk.normalize_uk(raw, AS_OF).select(*kept.split())
+    return out.select(*kept.split())
 
 
-def un_normalize(spark: SparkSession, folder: str) -> DataFrame:
+def uk_normalize(spark: SparkSession, folder: str) -> DataFrame:
+    return _shown_uk(uk.normalize_uk(_raw_uk(spark, folder), AS_OF))
+
+
+def _raw_un(spark: SparkSession, folder: str) -> DataFrame:
     """Customers in the raw UN layout, with nested aliases, births and addresses."""
     text = lambda e: F.expr(e)
-    raw = table(spark, folder, "customer").select(
+    return table(spark, folder, "customer").select(
         text("CAST(c_custkey AS STRING)").alias("DATAID"),
         text("CONCAT('R', c_nationkey)").alias("REFERENCE_NUMBER"),
         text("CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment END").alias("FIRST_NAME"),
@@ -155,11 +171,17 @@ def un_normalize(spark: SparkSession, folder: str) -> DataFrame:
             "array(struct('Passport' AS TYPE_OF_DOCUMENT, LOWER(c_name) AS NUMBER, 'Congo' AS ISSUING_COUNTRY), struct('Id' AS TYPE_OF_DOCUMENT, '' AS NUMBER, '' AS ISSUING_COUNTRY))"
         ).alias("INDIVIDUAL_DOCUMENT"),
     )
+
+def _shown_un(out: DataFrame) -> DataFrame:
     kept = (
         "dataid name first_name last_name aliases nationalities pob_cities pob_countries dob_dates dob_years addresses "
         "id_numbers comments listed_on last_updated"
     )
-    return un.normalize_un(raw, AS_OF).select(*kept.split())
+    return out.select(*kept.split())
+
+
+def un_normalize(spark: SparkSession, folder: str) -> DataFrame:
+    return _shown_un(un.normalize_un(_raw_un(spark, folder), AS_OF))
 
 
 def ofac_nationalities(spark: SparkSession, folder: str) -> DataFrame:
@@ -227,16 +249,23 @@ def without_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return combine.without_duplicates(rows)[0]
 
 
-def search_list(spark: SparkSession, folder: str) -> DataFrame:
-    """The search form of a list in which every tenth entry lacks a name."""
-    raw = watchlist(spark, folder).withColumns(
+def _list_with_gaps(spark: SparkSession, folder: str) -> DataFrame:
+    """A list in which every tenth entry lacks a name."""
+    return watchlist(spark, folder).withColumns(
         {
             "name": F.when(F.col("dataid").cast("int") % 10 != 0, F.concat(F.lit("  "), F.col("name"))).otherwise(""),
             "last_updated": F.when(F.col("source") == "UN", F.lit("2023-01-01")),
             "processing_date": F.lit("2023-01-02"),
         }
     )
-    out = combine.search_list(raw, correct_updated_at=True)
+
+
+def search_list(spark: SparkSession, folder: str) -> DataFrame:
+    """The search form of a list with gaps."""
+    return _shown_search(combine.search_list(_list_with_gaps(spark, folder), correct_updated_at=True))
+
+
+def _shown_search(out: DataFrame) -> DataFrame:
     return out.select("dataid", "search_name", "search_aliases", "updated_at", "gender")
 
 
