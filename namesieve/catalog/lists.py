@@ -290,9 +290,10 @@ def latest_snapshot(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def freshness(spark: SparkSession, folder: str) -> DataFrame:
-    versions = table(spark, folder, "events").where("event_type <> 'error' OR ts < '2024-01-20'")
+    shifted = F.when(F.col("event_type") == "error", F.expr("ts - INTERVAL 10 DAYS")).otherwise(F.col("ts"))
+    versions = table(spark, folder, "events").withColumn("modified", shifted)
     aged = combine.freshness(
-        versions.withColumnRenamed("ts", "modified"), F.lit("2024-02-01 00:00:00").cast("timestamp"), ["event_type"], 3
+        versions, F.lit("2024-02-01 00:00:00").cast("timestamp"), ["event_type"], 3
     )
     return aged.select("event_type", F.round("age_days", 6).alias("age_days"), "needs_update")
 
@@ -478,8 +479,9 @@ GROUP BY p_name ORDER BY records DESC, p_name LIMIT 10""",
 FROM orders WHERE o_orderstatus <> 'P'""",
     "latest_snapshot": """WITH d AS (SELECT event_id, event_type, ts::DATE AS d FROM events)
 SELECT event_id, event_type, d::VARCHAR AS snapshot_date FROM d WHERE (event_type, d) IN (SELECT (event_type, max(d)) FROM d GROUP BY event_type)""",
-    "freshness": """WITH a AS (SELECT event_type, (epoch_us(TIMESTAMP '2024-02-01') - epoch_us(max(ts))) / 86400000000.0 AS age
-FROM events WHERE event_type <> 'error' OR ts < '2024-01-20' GROUP BY event_type)
+    "freshness": """WITH a AS (SELECT event_type, (epoch_us(TIMESTAMP '2024-02-01')
+- epoch_us(max(CASE WHEN event_type = 'error' THEN ts - INTERVAL 10 DAY ELSE ts END))) / 86400000000.0 AS age
+FROM events GROUP BY event_type)
 SELECT event_type, round(age, 6) AS age_days, age >= 3 AS needs_update FROM a""",
 }
 

@@ -79,8 +79,7 @@ def last_events(spark: SparkSession, folder: str) -> DataFrame:
 def latest_events(spark: SparkSession, folder: str) -> DataFrame:
     """The latest event of every user and type."""
     per_user = _events(spark, folder).withColumn("request_id", F.col("user_id").cast("string"))
-    timed = per_user.where(F.col("event_type").isNotNull() & F.col("timestamp").isNotNull())
-    return audit.latest_events(timed).select("request_id", "event_type", "timestamp")
+    return audit.latest_events(per_user).select("request_id", "event_type", "timestamp")
 
 
 def retained_events(spark: SparkSession, folder: str) -> DataFrame:
@@ -123,11 +122,14 @@ def _stream_rows() -> dict[str, Column]:
 
 
 def audit_stream_once(spark: SparkSession, folder: str) -> DataFrame:
-    """Events arriving as a stream, stored once per user and type, read back as (user, type)."""
+    """Events arriving in several batches and out of order, stored once per user and type, as (user, type)."""
     base = shared_folder(spark, "audit")
     cells = [c.alias(n) for n, c in _stream_rows().items()]
-    table(spark, folder, "events").select(*cells).write.parquet(f"{base}/events")
-    stream = spark.readStream.schema("request_id string, event_type string, timestamp string").parquet(f"{base}/events")
+    table(spark, folder, "events").select(*cells).repartition(4, "timestamp").write.parquet(
+        f"{base}/events"
+    )
+    reader = spark.readStream.schema("request_id string, event_type string, timestamp string")
+    stream = reader.option("maxFilesPerTrigger", 1).parquet(f"{base}/events")
     audit_stream(stream, f"{base}/out", f"{base}/state").awaitTermination()
     stored = spark.read.schema("request_id string, event_type string").json(f"{base}/out")
     return stored.select("request_id", "event_type")
@@ -170,7 +172,7 @@ SELECT request_id, array_to_string(miss, '; ') AS missing_fields, has_payload, t
 count(*) FILTER (NOT has_payload) AS without_payload FROM a""",
     "last_events": f"""WITH {_EVENTS} SELECT request_id, timestamp, event_type FROM a ORDER BY timestamp DESC NULLS LAST, request_id DESC LIMIT 10""",
     "latest_events": f"""WITH {_EVENTS} SELECT user_id::VARCHAR AS request_id, event_type, max(timestamp) AS timestamp FROM a
-WHERE event_type IS NOT NULL AND timestamp IS NOT NULL GROUP BY ALL""",
+GROUP BY ALL""",
     "retained_events": """SELECT event_type, count(*) AS events FROM events WHERE ts::DATE >= DATE '2024-01-20' GROUP BY event_type""",
     "error_events": f"""SELECT 'aml_screening' AS event_type, '2024-02-01T00:00:00' AS timestamp, request_id, 'error' AS status, 'dob is required' AS error
 FROM ({REQUESTS_SQL}) WHERE dob = ''""",

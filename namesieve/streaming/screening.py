@@ -38,9 +38,13 @@ def screen_stream(
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        assessed = screen_batch(batch, load_list(), **options).withColumn("batch_id", F.lit(batch_id))
-        writer = assessed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        writer.partitionBy("batch_id").parquet(output)
+        batch = batch.persist()  # read more than once while it is screened
+        try:
+            assessed = screen_batch(batch, load_list(), **options).withColumn("batch_id", F.lit(batch_id))
+            writer = assessed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            writer.partitionBy("batch_id").parquet(output)
+        finally:
+            batch.unpersist()
 
     writer = requests.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
@@ -52,9 +56,9 @@ def newest_list(spark: SparkSession, path: str) -> Callable[[], DataFrame]:
 
 
 def audit_stream(
-    events: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, watermark: str = "1 hour"
+    events: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, watermark: str | None = None
 ) -> StreamingQuery:
-    """Append events as JSON by day, each (request, type) once within the watermark."""
+    """Append events as JSON by day, each (request, type) once; see :func:`one_event_per_request`."""
     timed = events.withColumn("event_time", F.try_to_timestamp(F.col("timestamp").cast("string")))
     once = one_event_per_request(timed, watermark)
     dated = once.withColumn("event_date", F.to_date("event_time")).drop("event_time")
@@ -64,6 +68,12 @@ def audit_stream(
     ).start()
 
 
-def one_event_per_request(events: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """Drop repeated events of the same request and type; needs ``event_time``."""
+def one_event_per_request(events: DataFrame, watermark: str | None = None) -> DataFrame:
+    """Drop repeated events of the same request and type.
+
+    Nothing is lost by default, however late it comes: the state is one key per request and type, which the RocksDB
+    state store keeps on disk. A ``watermark`` on ``event_time`` bounds the state, at the price of late events.
+    """
+    if watermark is None:
+        return events.dropDuplicates(["request_id", "event_type"])
     return events.withWatermark("event_time", watermark).dropDuplicatesWithinWatermark(["request_id", "event_type"])
