@@ -9,7 +9,7 @@ from namesieve.catalog.inputs import table
 from namesieve.functions import documents as D
 from namesieve.functions import risk, validation
 from namesieve.functions.countries import country_codes
-from namesieve.operators import faces, kyc
+from namesieve.operators import audit, faces, kyc
 
 AS_OF = "2024-02-01"
 
@@ -239,6 +239,12 @@ def combined_risk(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def combined_events(spark: SparkSession, folder: str) -> DataFrame:
+    """Audit events of the combined assessments."""
+    combined = kyc.combine_scores(*_halves(spark, folder))
+    return audit.combined_events(combined, F.lit("2024-02-01T00:00:00"))
+
+
 def combined_engine_risk(spark: SparkSession, folder: str) -> DataFrame:
     combined = kyc.combine_scores_engine(*_halves(spark, folder))
     return combined.select(
@@ -305,6 +311,7 @@ QUERIES = {
         kyc_risk,
         kyc_engine_risk,
         combined_risk,
+        combined_events,
         combined_engine_risk,
         field_extract,
         rule_extract,
@@ -452,6 +459,14 @@ SELECT *, CASE WHEN risk_score >= 70 THEN 'high' WHEN risk_score >= 40 THEN 'med
 c AS (SELECT *, round(a * 0.6::DOUBLE + y * 0.4::DOUBLE, 2) AS score FROM s)
 SELECT request_id, score AS combined_risk_score, CASE WHEN score >= 70 THEN 'high' WHEN score >= 30 THEN 'medium' ELSE 'low' END AS combined_risk_level,
 1::BIGINT AS factors, 'AML screening completed with risk score: ' || a || '; KYC verification completed with status: completed' AS details FROM c""",
+    "combined_events": """WITH s AS (SELECT o_orderkey::VARCHAR AS request_id, (o_orderkey * 3 % 21 * 5)::INT AS a, (o_orderkey * 8 % 21 * 5)::INT AS y
+  FROM orders WHERE o_orderstatus <> 'P' AND o_orderpriority <> '1-URGENT'),
+c AS (SELECT *, round(a * 0.6::DOUBLE + y * 0.4::DOUBLE, 2) AS score FROM s)
+SELECT 'combined_risk_assessment' AS event_type, '2024-02-01T00:00:00' AS timestamp, request_id, 'success' AS status, score AS combined_risk_score,
+CASE WHEN score >= 70 THEN 'high' WHEN score >= 30 THEN 'medium' ELSE 'low' END AS combined_risk_level,
+a AS aml_risk_score, CASE WHEN a >= 70 THEN 'high' WHEN a >= 40 THEN 'medium' ELSE 'low' END AS aml_risk_level,
+y AS kyc_risk_score, CASE WHEN y >= 70 THEN 'high' WHEN y >= 40 THEN 'medium' ELSE 'low' END AS kyc_risk_level,
+1::INTEGER AS risk_factors_count FROM c""",
     "combined_engine_risk": """WITH s AS (SELECT o_orderkey::VARCHAR AS request_id, o_orderkey AS k,
   CASE WHEN o_orderstatus <> 'P' THEN (o_orderkey * 3 % 21 * 5)::INT END AS a, CASE WHEN o_orderpriority <> '1-URGENT' THEN (o_orderkey * 8 % 21 * 5)::INT END AS y FROM orders),
 c AS (SELECT *, least(100, floor(coalesce(a * 0.6::DOUBLE + y * 0.4::DOUBLE, a, y)))::INTEGER AS score FROM s WHERE a IS NOT NULL OR y IS NOT NULL)

@@ -1,7 +1,7 @@
 """Lists and requests derived from the given tables, as DataFrames and as the same SQL.
 
 Every part is a list entry and every customer a request; a third of the requests carry an entry's
-name with its words turned round and a letter missing, a third the exact name, a third another name.
+name with its words turned round and a letter missing, a third the exact name, and the others an alias or a name that is not listed.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ REQUEST_COLUMNS = {
         "c_custkey",
         "CONCAT(p_brand, ' ', SUBSTR(p_name, 1, LENGTH(p_name) - 1))",
         "CONCAT(p_name, ' ', p_brand)",
-        "CONCAT(c_mktsegment, ' ', c_name)",
+        "CASE WHEN c_nationkey % 2 = 0 THEN p_name ELSE CONCAT(c_mktsegment, ' ', c_name) END",
     ),
     "dob": "CASE WHEN c_nationkey < 12 THEN CONCAT(CAST(1940 + p_size AS STRING), '-01-01') ELSE '' END",
     "nationality": "CASE WHEN c_nationkey % 2 = 0 THEN LOWER(p_type) ELSE c_mktsegment END",
