@@ -1,21 +1,13 @@
-"""Shared folders and Arrow helpers."""
+"""Tables in the folder that driver and executors share."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 from namesieve.session import materialize
+from namesieve.session import shared_folder as new_folder
 
-__all__ = ["materialize", "new_folder"]
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below the cluster's checkpoint folder, which driver and executors share."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        materialize(spark.range(1))
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+__all__ = ["materialize", "new_folder", "written"]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -158,10 +158,12 @@ def mix(
     max_repeats: float = 2.0,
     entropy: float | None = None,
     budget: float | None = None,
+    result: str | None = "mixed",
 ) -> DataFrame:
-    """The rows of the mix: every column of ``docs`` and a struct ``mixed`` (copy, block, draw, weight, epochs).
+    """The rows of the mix: every column of ``docs`` and a struct ``result`` (copy, block, draw, weight, epochs).
 
-    ``draw`` orders the blocks of a copy at random, each copy anew.
+    ``draw`` orders the blocks of a copy at random, each copy anew. A column of ``docs`` named like the result is
+    replaced; without a result's name the columns are those of ``docs``.
     """
     copies = block_copies(docs, id_col, source_col, text_col, max_repeats, entropy, budget)
     copies = copies.select(F.struct("*").alias("mix plan"))
@@ -181,4 +183,5 @@ def mix(
         plan["weight"].alias("weight"),
         plan["epochs"].alias("epochs"),
     )
-    return each.select(*[F.col(f"`{c}`") for c in docs.columns], mixed.alias("mixed"))
+    own = [F.col(f"`{c}`") for c in docs.columns if c != result]
+    return each.select(*own, mixed.alias(result)) if result else each.select(*own)

@@ -43,6 +43,16 @@ def test_registered():
     assert set(__spark_entry__.CATALOGS[-1].QUERIES) == {"pipeline"}
 
 
+def test_clashing_columns_stay(spark):
+    text = lambda i: " ".join(f"Boat {i} {k} left the harbour at {k} in the evening." for k in range(9))
+    docs = spark.createDataFrame([(i, text(i), "a", 1, "own", 9) for i in range(9)],
+                                 "doc_id long, text string, source string, copy int, mixed string, n_chars int")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == ["doc_id", "text", "source", "copy", "mixed", "n_chars"]
+    assert {r.mixed for r in docs.collect()} == {"own"}
+
+
 def test_odd_documents_pass_through(spark):
     rows = [(None, None, None, None, None), (1, "", "en", "a", 0), (1, "", "en", "a", 0), (2, "word " * 30 + "end.", None, None, 9)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
