@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from namesieve.llm import nnls_packing, quality_rules, simhash_bk, temperature_mix
+from namesieve.llm import near_copies, nnls_packing, quality_rules, temperature_mix
 from namesieve.llm.shared import written
 
 
@@ -18,7 +18,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash_bk.keep_one(docs)
+    return near_copies.keep_one(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
