@@ -10,14 +10,17 @@ import html
 import re
 from dataclasses import dataclass
 
-_QUOTED = r"""(?:[^>"']++|"[^"]{0,5000}+"|'[^']{0,5000}+')*+"""
-#: Elements whose content is no text of the page.
-_RAW = "script|style|noscript|template|title|textarea|select|svg|math|iframe|object|canvas|audio|video"
+_QUOTED = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
+#: Elements whose content is no text of the page. Unclosed, the first run to the end of the page, the others are tags;
+#: svg and math may close themselves.
+_TO_END, _TO_CLOSE, _FOREIGN = "script|style|textarea", "noscript|template|title|select|iframe|object|canvas|audio|video", "svg|math"
 _TOKEN = re.compile(
-    rf"<!--(?:.*?-->|.*\Z)|<({_RAW})\b{_QUOTED}>(?:.*?</\1\s*>|.*\Z)"
+    rf"<!--(?:.*?-->|.*\Z)|<({_TO_END})(?![\w:-]){_QUOTED}>(?:.*?</\1\s*>|.*\Z)"
     rf"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({_QUOTED})>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)|<[!?][^>]*>",
     re.S | re.I,
 )
+_RAW = frozenset(f"{_TO_CLOSE}|{_FOREIGN}".split("|"))
+_CLOSING = re.compile(rf"</({_TO_CLOSE}|{_FOREIGN})\s*>", re.I)
 _BLOCK_TAGS = frozenset(
     "address article aside blockquote body button center dd details dialog div dl dt fieldset figcaption figure footer "
     "form h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol option p pre section summary "
@@ -145,8 +148,15 @@ def blocks(page: str | None) -> list[Block]:
             if name == tag:
                 return
 
+    # Where the raw elements' end tags are, last first, so that reading stays linear.
+    closing: dict[str, list[int]] = {}
+    for end in _CLOSING.finditer(page):
+        closing.setdefault(end[1].lower(), []).append(end.end())
+    for ends in closing.values():
+        ends.reverse()
+
     at = 0
-    for token in _TOKEN.finditer(page):
+    while token := _TOKEN.search(page, at):
         if token.start() > at:
             add(page[at : token.start()])
         at = token.end()
@@ -154,6 +164,13 @@ def blocks(page: str | None) -> list[Block]:
         if not tag:
             continue
         ending, attributes = token[2] or token[5], token[4] or token[7] or ""
+        if tag in _RAW:
+            ends = closing.get(tag, [])
+            while ends and ends[-1] <= at:
+                ends.pop()
+            if ends and not ending and not (tag in ("svg", "math") and attributes.endswith("/")):
+                at = ends[-1]
+            continue
         if tag == "a":
             links = 0 if ending else 1
             continue

@@ -99,6 +99,28 @@ def test_blocks(page, texts):
     assert [b.text for b in html_blocks.blocks(page)] == texts
 
 
+@pytest.mark.parametrize(
+    ("page", "texts"),
+    [
+        ("<p>a</p><video-js id=x></video-js><p>rest</p>", ["a", "rest"]),
+        ("<p>a</p><title-card>b</title-card><p>rest</p><title>t</title>", ["a", "b", "rest"]),
+        ("<svg class=i/><p>rest</p>", ["rest"]),
+        ("<math/><p>a</p><math>x</math><p>rest</p>", ["a", "rest"]),
+        ("<svg><title>no</title></svg><p>rest</p>", ["rest"]),
+        ("<p>a<video src=x><p>rest</p>", ["a", "rest"]),
+        ('<title>1 <b "2</title><p class="x">rest</p>', ["rest"]),
+        (f'<script data-x="{"y" * 9000}">var code;</script><p>rest</p>', ["rest"]),
+        (f'<p title="{"y>" * 9000}">rest</p>', ["rest"]),
+    ],
+)
+def test_raw_elements_end_where_they_should(page, texts):
+    assert [b.text for b in html_blocks.blocks(page)] == texts
+
+
+def test_many_unclosed_raw_elements_stay_linear():
+    assert len(html_blocks.blocks("<svg><p>word" * 60_000)) == 60_000
+
+
 def test_long_and_deep_pages():
     deep = "<div>" * 20_000 + "x" + "</div>" * 20_000
     assert [b.text for b in html_blocks.blocks(deep)] == ["x"]
