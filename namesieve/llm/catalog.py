@@ -9,6 +9,7 @@ from namesieve.llm import (
     bloom_lm,
     chat_log,
     crf_extract,
+    merkle_manifest,
     nnls_packing,
     projection_passes,
     quality_rules,
@@ -89,6 +90,16 @@ def op10_crf_extract(spark: SparkSession, folder: str) -> DataFrame:
     return crf_extract.extract(_table(spark, folder, "pages"))
 
 
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    struck = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    tampered = F.when(struck, F.translate("text", _UPPER, _LOWER)).otherwise(F.col("text"))
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    found = merkle_manifest.verify(merkle_manifest.manifest(docs, fields, "doc_id", "source", {"text": tampered}))
+    return found.drop("proof").withColumnRenamed("id", "doc_id")
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WS = r"[\x20\x09-\x0D]+"
 _WORDS = rf"list_filter(string_split_regex(coalesce(text, ''), '{_WS}'), lambda w: w <> '')"
 _SPOKEN = rf"list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_replace(l, '{_WS}', '', 'g') <> '')"
@@ -161,7 +172,6 @@ FROM (SELECT doc_id, d.source, d.block, weight, unnest(range(1, copies + 1)) AS
       FROM docs d JOIN copies c ON d.source IS NOT DISTINCT FROM c.source AND d.block = c.block)
 """
 
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 _BLOCKED_ROWS = ", ".join(f"('{h}')" for h in BLOCKED_HOSTS)
 OP7_SQL = f"""
@@ -180,6 +190,61 @@ SELECT u.page_id, host, path, rule,
 FROM u LEFT JOIN fitting f ON u.page_id = f.page_id AND k = 1
 """
 
+#: Unsigned crc32 of a decimal number, bit by bit.
+_BITS = "list_transform(range(0, 8 * length({id})), lambda k: (ascii(substr({id}, (k // 8 + 1)::INTEGER, 1)) >> (k % 8)::INTEGER) & 1)"
+_CRC32 = (
+    "xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], " + _BITS + "), "
+    "lambda c, b: CASE WHEN xor(c & 1, b) = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
+)
+_FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def _merkle_sql(levels: int = 7) -> str:
+    """Level by level, ``levels`` of them for the groups and for the root: enough for 16 ** levels of each."""
+
+    def leaf(text: str) -> str:
+        fields = [f if f != "text" else text for f in _FIELDS]
+        coded = [f"coalesce(octet_length(encode(({f})::VARCHAR))::VARCHAR || ':' || ({f})::VARCHAR, '-')" for f in fields]
+        return f"sha256({' || '.join(coded)})"
+
+    lower = f"translate(text, '{_UPPER}', '{_LOWER}')"
+    steps = [
+        f"""struck AS (SELECT *, doc_id IS NOT NULL AND {_CRC32.format(id="doc_id::VARCHAR")} % 5 = 0 AS s FROM documents),
+leaves AS (SELECT doc_id, source, {leaf("text")} AS leaf, {leaf(f"CASE WHEN s THEN {lower} ELSE text END")} AS claim FROM struck),
+l0 AS (SELECT doc_id, source AS g, leaf, claim AS h, '' AS proof,
+              row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+              count(*) OVER (PARTITION BY source) AS n FROM leaves),
+n0 AS (SELECT g, i, n, leaf AS node FROM l0)"""
+    ]
+
+    def climb(k: int) -> str:
+        return f"""r{k} AS (SELECT g, i // 16 AS b, n, list(node ORDER BY i) AS run FROM n{k - 1} GROUP BY g, i // 16, n),
+n{k} AS (SELECT g, CASE WHEN n > 1 THEN b ELSE 0 END AS i, (n + 15) // 16 AS n,
+                CASE WHEN n > 1 THEN sha256(array_to_string(run, '')) ELSE run[1] END AS node FROM r{k}),
+l{k} AS (SELECT doc_id, l.g, leaf, l.i // 16 AS i, (l.n + 15) // 16 AS n,
+                CASE WHEN l.n > 1 THEN sha256(array_to_string(run[:l.i % 16], '') || h || array_to_string(run[l.i % 16 + 2:], ''))
+                     ELSE h END AS h,
+                CASE WHEN l.n > 1 THEN proof || array_to_string(run[:l.i % 16], '') || array_to_string(run[l.i % 16 + 2:], '')
+                     ELSE proof END AS proof{"" if k <= levels else ", subroot"}
+         FROM l{k - 1} l JOIN r{k} r ON l.g IS NOT DISTINCT FROM r.g AND l.i // 16 = r.b)"""
+
+    steps += [climb(k) for k in range(1, levels + 1)]
+    m = levels + 1
+    steps.append(
+        f"""tops AS (SELECT g AS source, node, row_number() OVER (ORDER BY encode(g) NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM n{levels}),
+n{m} AS (SELECT 0 AS g, i, n, node FROM tops),
+l{m} AS (SELECT doc_id, 0 AS g, leaf, t.i, t.n, h, proof, t.node AS subroot
+         FROM l{levels} l JOIN tops t ON l.g IS NOT DISTINCT FROM t.source)"""
+    )
+    steps += [climb(k) for k in range(m + 1, m + levels + 1)]
+    last = m + levels
+    return "WITH " + ",\n".join(steps) + f"""
+SELECT doc_id, leaf, subroot, node AS root, sha256(proof) AS proof_sha256, h AS folded_root, h = node AS verified
+FROM l{last}, (SELECT node FROM n{last})"""
+
+
+OP12_SQL = _merkle_sql()
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_token_store": op2_token_store,
@@ -191,5 +256,6 @@ QUERIES = {
     "op8_projection_passes": op8_projection_passes,
     "op9_temperature_mix": op9_temperature_mix,
     "op10_crf_extract": op10_crf_extract,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
-ORACLES = {"op1_quality_rules": OP1_SQL, "op7_url_digests": OP7_SQL, "op9_temperature_mix": OP9_SQL}
+ORACLES = {"op1_quality_rules": OP1_SQL, "op7_url_digests": OP7_SQL, "op9_temperature_mix": OP9_SQL, "op12_merkle_manifest": OP12_SQL}
