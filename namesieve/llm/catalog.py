@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from namesieve.llm import (
@@ -11,6 +11,7 @@ from namesieve.llm import (
     crf_extract,
     merkle_manifest,
     nnls_packing,
+    periodic_runs,
     projection_passes,
     quality_rules,
     simhash_bk,
@@ -18,6 +19,7 @@ from namesieve.llm import (
     token_store,
     url_digests,
 )
+from namesieve.llm.columns import let, words
 from namesieve.llm.shared import new_folder, written
 
 
@@ -90,6 +92,42 @@ def op10_crf_extract(spark: SparkSession, folder: str) -> DataFrame:
     return crf_extract.extract(_table(spark, folder, "pages"))
 
 
+def _made_periodic(text: Column, hashed: Column) -> Column:
+    """The text whose words from some word on repeat the ones before, as a hash tells."""
+    turn = F.floor(hashed / 10)
+
+    def repeat(w: Column) -> Column:
+        begin = (turn % F.size(w)).cast("int")
+        period = (1 + F.floor((F.size(w) - begin) / (3 + turn % 8))).cast("int")
+        again = F.transform(w, lambda x, i: F.when(i < begin, x).otherwise(F.get(w, begin + (i - begin) % period)))
+        return F.when(F.size(w) == 0, text).otherwise(F.array_join(again, " "))
+
+    return F.when(hashed % 10 == 0, let(words(text), repeat)).otherwise(text)
+
+
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    hashed = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    docs = _table(spark, folder, "documents").select("doc_id", _made_periodic(F.col("text"), hashed).alias("text"))
+    found = periodic_runs.find(docs)
+    listed = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+
+    def stronger(x: Column, y: Column) -> Column:
+        """Which of two runs has the greater exponent: compared as fractions, so exactly."""
+        a, b = x["length"] * y["period"], y["length"] * x["period"]
+        first = (a > b) | ((a == b) & ((x["start"] < y["start"]) | ((x["start"] == y["start"]) & (x["period"] < y["period"]))))
+        return F.when(first, F.lit(-1)).otherwise(F.lit(1))
+
+    best = F.get(F.array_sort("runs", stronger), F.lit(0))
+    found = found.withColumn("best", F.when(F.size("runs") > 0, best))
+    return found.select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"),
+        "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(listed, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "source", "lang", "n_chars", "text")
     struck = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
@@ -256,6 +294,7 @@ QUERIES = {
     "op8_projection_passes": op8_projection_passes,
     "op9_temperature_mix": op9_temperature_mix,
     "op10_crf_extract": op10_crf_extract,
+    "op11_periodic_runs": op11_periodic_runs,
     "op12_merkle_manifest": op12_merkle_manifest,
 }
 ORACLES = {"op1_quality_rules": OP1_SQL, "op7_url_digests": OP7_SQL, "op9_temperature_mix": OP9_SQL, "op12_merkle_manifest": OP12_SQL}
