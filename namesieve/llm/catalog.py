@@ -10,6 +10,7 @@ from namesieve.llm import (
     chat_log,
     crf_extract,
     merkle_manifest,
+    metric_tree,
     nnls_packing,
     periodic_runs,
     projection_passes,
@@ -137,6 +138,14 @@ def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return found.drop("proof").withColumnRenamed("id", "doc_id")
 
 
+def op13_metric_tree(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _table(spark, folder, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    odd = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
+    rows = rows.where(F.col("v").isNotNull() & ~odd)
+    whole = rows.select("vec_id", F.transform("v", lambda x: F.floor(x * 256)).alias("v"))
+    return metric_tree.top_k(whole, F.col("vec_id") % 50 == 0, 5, "vec_id", "v")
+
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WS = r"[\x20\x09-\x0D]+"
 _WORDS = rf"list_filter(string_split_regex(coalesce(text, ''), '{_WS}'), lambda w: w <> '')"
@@ -283,6 +292,16 @@ FROM l{last}, (SELECT node FROM n{last})"""
 
 OP12_SQL = _merkle_sql()
 
+OP13_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+           FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
+ranked AS (SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank,
+                  vec_id, score FROM scored)
+SELECT * FROM ranked WHERE rank <= 5
+"""
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_token_store": op2_token_store,
@@ -296,5 +315,6 @@ QUERIES = {
     "op10_crf_extract": op10_crf_extract,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_metric_tree": op13_metric_tree,
 }
-ORACLES = {"op1_quality_rules": OP1_SQL, "op7_url_digests": OP7_SQL, "op9_temperature_mix": OP9_SQL, "op12_merkle_manifest": OP12_SQL}
+ORACLES = {"op1_quality_rules": OP1_SQL, "op7_url_digests": OP7_SQL, "op9_temperature_mix": OP9_SQL, "op12_merkle_manifest": OP12_SQL, "op13_metric_tree": OP13_SQL}
