@@ -37,7 +37,6 @@ def texts():
 @pytest.mark.parametrize("common", [16, 1])
 def test_stage_equals_brute_force(spark, monkeypatch, common):
     monkeypatch.setattr(near_copies, "COMMON", common)
-    monkeypatch.setattr(near_copies, "_HELD", 500)
     rows = [(int(i * 7 % 1009), t, "x") for i, t in enumerate(texts())]
     sets = {i: shingles(t) for i, t, _ in rows}
     root = {i: i for i in sets}
@@ -60,6 +59,24 @@ def test_stage_equals_brute_force(spark, monkeypatch, common):
     assert got == sorted(r for r in rows if find(r[0]) == r[0])
 
 
+def test_a_key_of_many_texts_is_cut_and_keeps_one_hub():
+    rng = np.random.default_rng(3)
+    m = 3 * near_copies.PIECE + 100
+    key = np.r_[np.full(5, 1), np.full(m, 2), [3], np.full(2, 4)]
+    n = np.r_[np.full(5, 30), np.sort(rng.integers(95, 100, m)), [7], [8, 9]]
+    node = np.r_[np.arange(5), 1000 + np.arange(m), [1], [2, 3]]
+    rows = [key, node, n, n]
+    out, groups = [], near_copies._Grouping()
+    for start in range(0, len(key), 3001):
+        out += groups.add([r[start : start + 3001] for r in rows])
+    found = [r for batch in [*out, *groups.end()] for r in batch.to_pylist()]
+    sizes = sorted(len(r["nodes"]) for r in found)
+    assert sizes[:2] == [2, 5] and sum(sizes[2:]) == m and len(sizes) >= 5 and sizes[-1] <= near_copies.PIECE + 3001
+    cut = [r for r in found if 1000 in r["nodes"] or r["nodes"][0] >= 1000]
+    assert len({r["digest"] for r in cut}) == 1 and sorted(r["seq"] for r in cut) == list(range(len(cut)))
+    assert {h for r in cut for h in r["low"]} | {h for r in cut for h in r["mid"]} == {1000}
+
+
 def test_odd_rows(spark):
     text = "a b c d e f g"
     rows = [(None, text), (None, text), (3, text), (3, text), (None, "x y z other"), (None, "x y z other"), (9, "q r s t")]
