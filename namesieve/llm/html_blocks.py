@@ -15,7 +15,7 @@ _QUOTED = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
 #: svg and math may close themselves.
 _TO_END, _TO_CLOSE, _FOREIGN = "script|style|textarea", "noscript|template|title|select|iframe|object|canvas|audio|video", "svg|math"
 _TOKEN = re.compile(
-    rf"<!--(?:.*?-->|.*\Z)|<({_TO_END})(?![\w:-]){_QUOTED}>(?:.*?</\1\s*>|.*\Z)"
+    rf"<!--(?:-?>|.*?--!?>|.*\Z)|<({_TO_END})(?![\w:-]){_QUOTED}>(?:.*?</\1\s*>|.*\Z)"
     rf"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({_QUOTED})>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)|<[!?][^>]*>",
     re.S | re.I,
 )

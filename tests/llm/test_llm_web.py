@@ -1,7 +1,9 @@
 """URL rules and main text of pages."""
 
+import itertools
 import random
 
+import numpy as np
 import pytest
 
 from namesieve.llm import crf_extract, html_blocks, url_digests
@@ -105,6 +107,9 @@ def test_blocks(page, texts):
         ("<p>a</p><video-js id=x></video-js><p>rest</p>", ["a", "rest"]),
         ("<p>a</p><title-card>b</title-card><p>rest</p><title>t</title>", ["a", "b", "rest"]),
         ("<svg class=i/><p>rest</p>", ["rest"]),
+        ("<p>a</p><!--><p>b</p>", ["a", "b"]),
+        ("<p>a</p><!---><p>b</p><!-- x --><p>c</p>", ["a", "b", "c"]),
+        ("<p>a</p><!-- x --!><p>b</p><!-- y > --><p>c</p><!-- z", ["a", "b", "c"]),
         ("<math/><p>a</p><math>x</math><p>rest</p>", ["a", "rest"]),
         ("<svg><title>no</title></svg><p>rest</p>", ["rest"]),
         ("<p>a<video src=x><p>rest</p>", ["a", "rest"]),
@@ -141,6 +146,24 @@ def test_held_out_layouts(field):
     assert len(test) > 150 and sum(right) / len(right) > 0.97
 
 
+def test_decode_is_the_best_of_all_state_sequences():
+    rng = np.random.default_rng(4)
+    pages = ["<nav><a>Home</a><p>News today</p></nav><div>" + "".join(f"<p>Line {i}, of some length.</p>" for i in range(k)) + "</div>" for k in range(7)]
+    for page in [*pages, "<p>one</p>", ""]:
+        found = html_blocks.blocks(page)
+        for _ in range(20):
+            chain = crf_extract.Field()
+            chain.weights, chain.moves = rng.standard_normal(chain.weights.shape), rng.standard_normal((2, 2, 2))
+            emit, same = (crf_extract._features(found) @ chain.weights, crf_extract._same(found)) if found else ([], [])
+
+            def score(states):
+                moves = sum(chain.moves[same[t], states[t - 1], states[t]] for t in range(1, len(states)))
+                return moves + sum(e for e, y in zip(emit, states) if y)
+
+            best = max(itertools.product((0, 1), repeat=len(found)), key=score)
+            assert score(chain.decode(found)) == pytest.approx(score(best))
+
+
 A = "<h1>A title of some words</h1><p>The first paragraph is about the river, and it is long enough.</p><p>The second one says more.</p>"
 WANT = "A title of some words\n\nThe first paragraph is about the river, and it is long enough.\n\nThe second one says more."
 
