@@ -6,8 +6,8 @@ those with the largest products.
 
 The tree has four levels. ``PIVOTS`` routing vectors (a sample of fixed size; all rows are indexed) divide the space into
 regions, each with its covering radius. A region is cut into pages of ``PAGE`` vectors in the order of their distance to
-its pivot, so a page is a ring with an inner and an outer radius, and a dense region is many pages. A page holds up to
-``NODES`` nodes: a routing vector with its covering radius and its distance to the parent. A node's entries hold their
+its pivot, so a page is a ring with an inner and an outer radius, and a dense region is many pages. A page's nodes have a
+routing vector, its covering radius and its distance to the parent, and about ``ENTRIES`` vectors each. A node's entries hold their
 distance to the routing vector. A search takes nodes in the order of the least distance they allow, and ends when that
 exceeds the k-th best; by |d(q, parent) - d(parent, x)| <= d(q, x) it passes over nodes and vectors whose stored distances
 show that they are too far, without computing theirs.
@@ -37,9 +37,9 @@ from namesieve.llm.shared import written
 
 #: Routing vectors of regions: a sample, taken by hash.
 PIVOTS = 64
-#: Vectors of a page, and its nodes.
+#: Vectors of a page, and of a node.
 PAGE = 4096
-NODES = 64
+ENTRIES = 64
 #: Regions of vectors of one length are numbered from this multiple of it; the first is for vectors without a pivot.
 _SPAN = 1024
 _SLACK = 1e-6
@@ -108,7 +108,7 @@ class Page:
     def __init__(self, space: Space, pivot: np.ndarray | None, ids: np.ndarray, vectors: np.ndarray, dist: np.ndarray):
         self.space, self.pivot = space, pivot
         x = vectors.astype(np.float64)
-        routing = np.unique(np.linspace(0, len(x) - 1, min(NODES, len(x))).astype(np.int64))
+        routing = np.unique(np.linspace(0, len(x) - 1, -(-len(x) // ENTRIES)).astype(np.int64))
         d = space.between(x, x[routing])
         owner = d.argmin(1)
         order = np.argsort(owner, kind="stable")
