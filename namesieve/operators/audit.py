@@ -8,6 +8,7 @@ from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructTy
 
 from namesieve import schemas
 from namesieve.functions.text import fill, strip
+from namesieve.sources.lines import file_order
 
 # Size limits of logged payloads and the days audit data is kept.
 MAX_TEXT, MAX_ITEMS, RETENTION_DAYS = 1000, 10, 30
@@ -107,12 +108,44 @@ def error_events(df: DataFrame, event_type: str, timestamp: Column, error: Colum
     return build_events(failed, event_type, timestamp, ["request_id", "status", "error"])
 
 
+def scan_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Every line of JSON-lines files with its place and, if it holds no event, why: one scan for both outputs.
+
+    ``ord, line, event, reason``; ``reason`` is null for an event, else ``blank``, ``cut off`` (it opens an object that
+    is not closed) or ``no JSON object``. See :func:`events_of` and :func:`rejects_of`; persist the lines to use both.
+    """
+    schema = f"{schemas.AUDIT_EVENT}, _corrupt_record string"
+    lines = spark.read.text(path).select(file_order().alias("ord"), F.col("value").alias("line"))
+    parsed = lines.withColumn("event", F.from_json("line", schema))
+    text = strip("line")
+    bad = F.col("event").isNull() | F.col("event._corrupt_record").isNotNull()
+    reason = (
+        F.when(text == "", F.lit("blank"))
+        .when(bad & text.startswith("{") & ~text.endswith("}"), F.lit("cut off"))
+        .when(bad, F.lit("no JSON object"))
+    )
+    return parsed.withColumn("reason", reason)
+
+
+def events_of(lines: DataFrame) -> DataFrame:
+    return lines.where(F.col("reason").isNull()).select("event.*").drop("_corrupt_record")
+
+
+def rejects_of(lines: DataFrame) -> DataFrame:
+    """``file, split, number, reason, line``: the number counts from 1 where the file's split begins.
+
+    Only the first row of every split is looked up, so nothing is sorted and no file passes through one task.
+    """
+    place = [F.col("ord.file").alias("file"), F.col("ord.split").alias("split")]
+    first = lines.groupBy(*place).agg(F.min("ord.row").alias("first"))
+    bad = lines.where(F.col("reason").isNotNull()).select(*place, F.col("ord.row").alias("row"), "reason", "line")
+    counted = bad.join(first, ["file", "split"])
+    return counted.select("file", "split", (F.col("row") - F.col("first") + 1).alias("number"), "reason", "line")
+
+
 def read_events(spark: SparkSession, path: str) -> DataFrame:
     """JSON-lines events; blank and unreadable lines are left out."""
-    schema = f"{schemas.AUDIT_EVENT}, _corrupt_record string"
-    lines = spark.read.text(path).where(strip("value") != "")
-    parsed = lines.select(F.from_json("value", schema).alias("e"))
-    return parsed.where(F.col("e._corrupt_record").isNull()).select("e.*").drop("_corrupt_record")
+    return events_of(scan_lines(spark, path))
 
 
 def write_events(events: DataFrame, path: str) -> None:
