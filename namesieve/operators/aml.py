@@ -37,18 +37,45 @@ def assess(requests: DataFrame, watchlist: DataFrame, **options) -> DataFrame:
     return score_summary(screen_summary(requests, watchlist, **options))
 
 
+#: Matches of a request that one part of its response holds, about.
+PART = 1000
+
+
+def response_summary(assessed: DataFrame, matches: DataFrame) -> DataFrame:
+    """One response per request with the number of its matches and the first of them; no matches are gathered."""
+    fields = [c for c in matches.columns if c != "request_id"]
+    counted = matches.groupBy("request_id").agg(F.count("*").alias("matches"), F.min(F.struct(*fields)).alias("first_match"))
+    joined = assessed.select(*_HEAD).join(counted, "request_id", "left")
+    return joined.withColumn("matches", F.coalesce("matches", F.lit(0).cast("long")))
+
+
+def response_parts(matches: DataFrame, size: int = PART) -> DataFrame:
+    """``request_id, part, parts, matches``: a request's matches in numbered parts of about ``size``, in order within each.
+
+    A request has as many parts as its matches fill; which part a match is in follows from its own values. So no
+    request, however many matches it has, meets in one row.
+    """
+    fields = [c for c in matches.columns if c != "request_id"]
+    parts = matches.groupBy("request_id").agg(F.ceil(F.count("*") / size).cast("int").alias("parts"))
+    dealt = matches.join(parts, "request_id").withColumn("part", F.pmod(F.xxhash64(*fields), F.col("parts")).cast("int"))
+    nested = F.sort_array(F.collect_list(F.struct(*fields))).alias("matches")
+    return dealt.groupBy("request_id", "part", "parts").agg(nested)
+
+
+_HEAD = "request_id sanctions_match pep_match risk_score risk_level details".split()
+
+
 def responses(assessed: DataFrame, matches: DataFrame) -> DataFrame:
-    """One response per request with all its matches nested, in order.
+    """One response per request with all its matches nested, in order: the layout of a single answer.
 
-    A request's matches make up one cell of its response, so they meet in one row; jobs that go on
-    with matches use the table of matches itself.
+    A request's matches make up one cell of its response, so they meet in one row. Jobs over many requests use
+    :func:`response_summary` and :func:`response_parts`.
     """
     fields = [c for c in matches.columns if c != "request_id"]
     nested = matches.groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("matches"))
     empty = F.array().cast(nested.schema["matches"].dataType)
-    head = "request_id sanctions_match pep_match risk_score risk_level details".split()
-    joined = assessed.select(*head).join(nested, "request_id", "left")
-    return joined.select(*head, F.coalesce("matches", empty).alias("matches"))
+    joined = assessed.select(*_HEAD).join(nested, "request_id", "left")
+    return joined.select(*_HEAD, F.coalesce("matches", empty).alias("matches"))
 
 
 def constraint_violations(responses: DataFrame, matches: DataFrame | None = None) -> DataFrame:

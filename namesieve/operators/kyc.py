@@ -69,9 +69,7 @@ def with_rules(documents: DataFrame, rules: DataFrame | None) -> DataFrame:
     exact = listed.where(F.col("_kind") != "").withColumnRenamed("_patterns", "_exact")
     general = listed.where(F.col("_kind") == "").drop("_kind").withColumnRenamed("_patterns", "_general")
     keyed = documents.withColumns({"_country": F.lower("country"), "_kind": F.lower(fill("document_type"))})
-    joined = keyed.join(F.broadcast(exact), ["_country", "_kind"], "left").join(
-        F.broadcast(general), "_country", "left"
-    )
+    joined = keyed.join(exact, ["_country", "_kind"], "left").join(general, "_country", "left")
     return joined.withColumn("patterns", F.coalesce("_exact", "_general")).drop(
         "_country", "_kind", "_exact", "_general"
     )
