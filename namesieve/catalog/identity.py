@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from namesieve.catalog.inputs import table
 from namesieve.functions import documents as D
 from namesieve.functions import risk, validation
-from namesieve.functions.countries import country_codes
+from namesieve.functions.countries import country_codes, country_reference
 from namesieve.operators import audit, faces, kyc
+from namesieve.session import shared_folder, write_text
+from namesieve.sources.rules import scan_rules
 
 AS_OF = "2024-02-01"
 
@@ -274,19 +278,28 @@ def field_extract(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+#: Country, document type (or none), and the patterns of number, name, birth and expiry.
 RULES = [
     ("en", "id_card", r'token = "([0-9a-f]+)"', r"([A-Z][a-z]+) the", r"(\d{3}-\d{4})", r"mail(\d+)\."),
-    *[(c, "", r"@mail(\d+)", r"([a-z]+)\.\d+@", r"(\d+\.\d+\.\d+\.\d+)", r"nothing (here)") for c in ("de", "fr", "es")],
+    *[(c, "", r"@mail(\d+)", r"([a-z]+)\.\d+@", r"(\d+\.\d+\.\d+\.\d+)", r"nothing (here)") for c in ("en", "de", "fr", "es")],
 ]
 
 
+def _rule_files(spark: SparkSession) -> str:
+    """The rules as JSON files of several lines, named by country and type."""
+    path = shared_folder(spark, "rules")
+    names = ("document_number", "name", "date_of_birth", "expiry_date")
+    for country, kind, *patterns in RULES:
+        stem = f"{country}_{kind}" if kind else country
+        rule = {"country_code": "as the name says", "document_type": kind, "extraction_patterns": dict(zip(names, patterns))}
+        write_text(spark, f"{path}/{stem}_rules.json", json.dumps(rule, indent=2))
+    write_text(spark, f"{path}/notes.json", "{}")
+    return path
+
+
 def rule_extract(spark: SparkSession, folder: str) -> DataFrame:
-    """Extraction by rules, one for a language and document type, the others for a language."""
-    fields = "struct<document_number:string,name:string,date_of_birth:string,expiry_date:string>"
-    rules = spark.createDataFrame(
-        [(c, t, (n, a, b, e)) for c, t, n, a, b, e in RULES],
-        f"country_code string, document_type string, extraction_patterns {fields}",
-    )
+    """Extraction by rules read from files: for English a rule of the type goes before the country's own."""
+    rules = scan_rules(spark, _rule_files(spark))
     read = kyc.read_documents(_text_documents(spark, folder), _as_of(), rules)
     return read.select(
         "request_id",
@@ -298,6 +311,43 @@ def rule_extract(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _damaged_zones(spark: SparkSession, folder: str) -> DataFrame:
+    """A sound zone per customer, damaged in one of ten ways; all its check digits are worked out after that but one."""
+    k = F.col("c_custkey") % 10
+    number = _number()
+    birth = F.when(k == 1, F.lit("850230")).otherwise("850228")
+    expiry = F.when(k == 2, F.lit("301301")).otherwise("301201")
+    nation = F.when(k == 3, F.lit("U1O")).when(k == 4, F.lit("QQQ")).otherwise("DEU")
+    sex = F.when(k == 5, F.lit("A")).otherwise("F")
+    kind = F.when(k == 6, F.lit("X<")).otherwise("P<")
+    names = F.when(k == 7, F.rpad(F.lit(""), 39, "<")).otherwise(F.rpad(F.lit("BERG<<ANNA"), 39, "<"))
+    digit = lambda c: D.check_digit(c).cast("string")
+    wrong = lambda c, when: F.when(when, ((c.cast("int") + 1) % 10).cast("string")).otherwise(c)
+    nd, bd, ed, optional = wrong(digit(number), k == 8), digit(birth), digit(expiry), F.lit("<" * 14)
+    body = F.concat(number, nd, birth, bd, expiry, ed, optional, F.lit("0"))
+    last = wrong(digit(body), k == 9)
+    zone = F.concat(kind, F.lit("DEU"), names, number, nd, nation, birth, bd, sex, expiry, ed, optional, F.lit("0"), last)
+    return table(spark, folder, "customer").select("c_custkey", zone.alias("zone"))
+
+
+def passport_faults(spark: SparkSession, folder: str) -> DataFrame:
+    """What is wrong with passports that are damaged in different ways; the country codes are those of the reference."""
+    codes = [r.alpha3 for r in country_reference(spark).select("alpha3").collect()]  # a table of fixed size
+    zones = _damaged_zones(spark, folder)
+    return zones.select(
+        "c_custkey",
+        F.array_join(D.mrz_faults(F.col("zone"), codes), ",").alias("faults"),
+        D.mrz_fields(F.col("zone"), codes)["valid_composite"].alias("valid"),
+    )
+
+
+def kyc_events(spark: SparkSession, folder: str) -> DataFrame:
+    """An audit event for every identity check."""
+    verified = _verified(spark, folder)
+    built = audit.kyc_events(verified.withColumns({"risk_score": F.lit(0), "risk_level": F.lit("low")}), F.lit("2024-02-01T00:00:00"))
+    return built.select("event_type", "timestamp", "request_id", "status", "document_verified")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -315,6 +365,8 @@ QUERIES = {
         combined_engine_risk,
         field_extract,
         rule_extract,
+        passport_faults,
+        kyc_events,
     )
 }
 
@@ -478,6 +530,10 @@ f AS (SELECT doc_id, coalesce({_FIRST('s', r'\b([A-Z0-9]{6,20})\b')}, {_FIRST('s
  {_FIRST('s', r'NAME[:\s]+([A-Z\s]{3,50})')} AS name FROM t)
 SELECT doc_id::VARCHAR AS request_id, number IS NOT NULL AS document_valid, number AS document_number, birth AS date_of_birth, name,
 0.6::DOUBLE AS ocr_confidence FROM f""",
+    "passport_faults": """SELECT c_custkey, ['', 'birth_date', 'expiry_date', 'nationality', 'nationality', 'sex', 'document_type', 'names',
+'number_check', 'composite_check'][c_custkey % 10 + 1] AS faults, c_custkey % 10 = 0 AS valid FROM customer""",
+    "kyc_events": f"""WITH {_PASSPORT_SQL} SELECT 'kyc_verification' AS event_type, '2024-02-01T00:00:00' AS timestamp,
+c_custkey::VARCHAR AS request_id, 'completed' AS status, checks AND NOT gone AS document_verified FROM v""",
     "rule_extract": """WITH t AS (SELECT doc_id, lang, text || ' end' AS s FROM documents),
 f AS (SELECT doc_id, lang, CASE lang WHEN 'en' THEN regexp_extract(s, 'token = "([0-9a-f]+)"', 1) ELSE regexp_extract(s, '@mail(\\d+)', 1) END AS number,
  CASE lang WHEN 'en' THEN regexp_extract(s, '([A-Z][a-z]+) the', 1) ELSE regexp_extract(s, '([a-z]+)\\.\\d+@', 1) END AS name,

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from namesieve import schemas
+from namesieve.catalog.expected_names import OFAC_SEARCHED, UK_SEARCHED
 from namesieve.catalog.inputs import WATCHLIST_SQL, table, watchlist
 from namesieve.functions import countries, dates
 from namesieve.operators import combine, reports
@@ -186,20 +187,20 @@ def un_normalize(spark: SparkSession, folder: str) -> DataFrame:
 
 def ofac_nationalities(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").withColumn("_text", countries.ofac_search_text("text"))
-    found = countries.ofac_nationalities(F.col("_text"), spark)
+    found = countries.ofac_nationalities(F.col("_text"))
     return docs.select("doc_id", F.array_join(found, "; ").alias("nationalities"))
 
 
 def uk_nationalities(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").withColumn("_text", countries.uk_search_text("text"))
-    found = countries.uk_nationalities(F.col("_text"), spark)
+    found = countries.uk_nationalities(F.col("_text"))
     return docs.select("doc_id", F.array_join(found, "; ").alias("nationalities"))
 
 
 def eu_country_names(spark: SparkSession, folder: str) -> DataFrame:
     suppliers = table(spark, folder, "supplier")
     code = F.when(F.col("s_suppkey") % 7 == 0, F.lit(" qq ")).otherwise(F.lower(_code("s_nationkey")))
-    return suppliers.select("s_suppkey", countries.eu_country_name(code, spark).alias("country"))
+    return suppliers.select("s_suppkey", countries.eu_country_name(code).alias("country"))
 
 
 def code_lookup(spark: SparkSession, folder: str) -> DataFrame:
@@ -490,24 +491,13 @@ def _values(rows: list[tuple[str, str]]) -> str:
     quoted = lambda t: "'" + t.replace("'", "''") + "'"
     return ", ".join(f"({quoted(a)}, {quoted(b)})" for a, b in rows)
 
-
-def rule_oracles(spark: SparkSession | None) -> dict[str, str]:
-    """SQL of the two searches by dictionary; the dictionaries need a session to be built."""
-    if spark is None:
-        return {}
-    codes, names, alternatives = countries.ofac_rules(spark)
-    ofac_rules = [(f" {c} ", n) for c, n in codes.items()] + [(n, n) for n in names] + list(alternatives.items())
-    known = set(countries.upper_dictionary(spark).values())
-    uk_rules = [(n, n) for n in sorted(known)]
-    for alternative, standard in countries.UK_ALTERNATIVES.items():
-        uk_rules += [(alternative, standard)] + ([(alternative, alternative)] if standard in known else [])
-    upper = "upper(replace(text, 'ß', 'SS'))"
-    found = "SELECT doc_id, coalesce(string_agg(DISTINCT o, '; ' ORDER BY o), '') AS nationalities FROM t LEFT JOIN r ON"
-    return {
-        "ofac_nationalities": f"""WITH r(p, o) AS (VALUES {_values(ofac_rules)}),
-t AS (SELECT doc_id, ' ' || {upper} || ' ' AS s FROM documents)
-{found} contains(s, p) GROUP BY doc_id""",
-        "uk_nationalities": f"""WITH r(p, o) AS (VALUES {_values(uk_rules)}),
-t AS (SELECT doc_id, regexp_replace(regexp_replace({upper}, '\\s+', ' ', 'g'), '[^\\x00-\\x7F]', 'a', 'g') AS s FROM documents)
-{found} contains(s, p) AND regexp_matches(s, '\\b\\Q' || p || '\\E\\b') GROUP BY doc_id""",
-    }
+_UPPER_TEXT = "upper(replace(text, 'ß', 'SS'))"
+_FOUND = "SELECT doc_id, coalesce(string_agg(DISTINCT o, '; ' ORDER BY o), '') AS nationalities FROM t LEFT JOIN r ON"
+ORACLES |= {
+    "ofac_nationalities": f"""WITH r(p, o) AS (VALUES {_values(OFAC_SEARCHED)}),
+t AS (SELECT doc_id, ' ' || {_UPPER_TEXT} || ' ' AS s FROM documents)
+{_FOUND} contains(s, p) GROUP BY doc_id""",
+    "uk_nationalities": f"""WITH r(p, o) AS (VALUES {_values(UK_SEARCHED)}),
+t AS (SELECT doc_id, regexp_replace(regexp_replace({_UPPER_TEXT}, '\\s+', ' ', 'g'), '[^\\x00-\\x7F]', 'a', 'g') AS s FROM documents)
+{_FOUND} contains(s, p) AND regexp_matches(s, '\\b\\Q' || p || '\\E\\b') GROUP BY doc_id""",
+}

@@ -93,30 +93,71 @@ def check_digit(text: Column) -> Column:
     return F.aggregate(weighted, F.lit(0), lambda acc, x: acc + x) % 10
 
 
-def mrz_fields(text: Column) -> Column:
-    """Struct of the zone's fields with ``valid_composite``: all five check digits agree.
+# Codes of a zone's issuer or holder that are no countries of the reference.
+ZONE_CODES = (
+    "D", "EUE", "GBD", "GBN", "GBO", "GBP", "GBS", "RKS", "UNA", "UNK", "UNO", "UTO", "XBA", "XCC", "XCE", "XCO", "XEC",
+    "XIM", "XMP", "XOM", "XPO", "XXA", "XXB", "XXC", "XXX",
+)
 
-    An empty optional field may carry ``<`` or ``0`` as its check digit.
+
+def mrz_fields(text: Column, codes: list[str] | None = None) -> Column:
+    """Struct of the zone's fields with ``faults`` and ``valid_composite``: no fault was found.
+
+    See :func:`mrz_faults`.
+    """
+    return let(text, lambda t: _mrz_struct(t, codes))
+
+
+def mrz_faults(text: Column, codes: list[str] | None = None) -> Column:
+    """What is wrong with a two-line zone of 88 characters: an empty array for a sound one, null without a zone.
+
+    Every field is held against what it may consist of, then the five check digits: the kind of document, both country
+    codes (letters; with ``codes`` one of these or of ``ZONE_CODES``), a surname, the number, both dates (real days),
+    the sex, and that no field holds a character that zones do not have. An empty optional field may carry ``<`` or
+    ``0`` as its check digit.
     """
-    return let(text, _mrz_struct)
+    return let(text, lambda t: _faults(t, codes))
+
+
+def _parts(text: Column) -> dict[str, Column]:
+    return {name: F.substring(text, *span) for name, span in LAYOUT.items()}
 
 
-def _mrz_struct(text: Column) -> Column:
-    part = {name: F.substring(text, *span) for name, span in LAYOUT.items()}
+def _faults(text: Column, codes: list[str] | None) -> Column:
+    part = _parts(text)
+    unfilled = lambda c: F.regexp_replace(c, "<+$", "")
     agrees = lambda value, check: check_digit(value).cast("string") == check
-    composite = F.concat(
-        F.substring(text, 45, 10), F.substring(text, 58, 7), F.substring(text, 66, 22)
-    )
-    optional_ok = agrees(part["optional"], part["optional_check"]) | (
-        (F.rtrim(F.translate(part["optional"], "<", " ")) == "") & part["optional_check"].isin("<", "0")
-    )
-    valid = (
-        agrees(part["document_number"], part["number_check"])
-        & agrees(part["birth_date"], part["birth_check"])
-        & agrees(part["expiry_date"], part["expiry_check"])
-        & optional_ok
-        & agrees(composite, part["composite_check"])
-    )
+    composite = F.concat(F.substring(text, 45, 10), F.substring(text, 58, 7), F.substring(text, 66, 22))
+    empty = (F.rtrim(F.translate(part["optional"], "<", " ")) == "") & part["optional_check"].isin("<", "0")
+
+    def country(name: str) -> Column:
+        code = unfilled(part[name])
+        known = code.rlike("^[A-Z]{1,3}$")
+        return known & code.isin(*codes, *ZONE_CODES) if codes else known
+
+    sound = {
+        "length": F.length(text) == MRZ_LENGTH,
+        "characters": text.rlike("^[A-Z0-9<]*$"),
+        "document_type": part["document_type"].startswith("P"),
+        "country_code": country("country_code"),
+        "names": part["names"].rlike("^[A-Z]"),
+        "document_number": unfilled(part["document_number"]) != "",
+        "nationality": country("nationality"),
+        "birth_date": mrz_calendar_date(part["birth_date"]).isNotNull(),
+        "sex": part["sex"].isin("M", "F", "X", "<"),
+        "expiry_date": mrz_calendar_date(part["expiry_date"]).isNotNull(),
+        "number_check": agrees(part["document_number"], part["number_check"]),
+        "birth_check": agrees(part["birth_date"], part["birth_check"]),
+        "expiry_check": agrees(part["expiry_date"], part["expiry_check"]),
+        "optional_check": agrees(part["optional"], part["optional_check"]) | empty,
+        "composite_check": agrees(composite, part["composite_check"]),
+    }
+    found = F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in sound.items()])
+    return F.when(text.isNotNull(), F.filter(found, lambda f: f.isNotNull()))
+
+
+def _mrz_struct(text: Column, codes: list[str] | None) -> Column:
+    part = _parts(text)
     plain = lambda c: F.trim(F.regexp_replace(F.translate(c, "<", " "), " +", " "))
     surname = F.substring_index(part["names"], "<<", 1)
     given = F.when(
@@ -133,7 +174,7 @@ def _mrz_struct(text: Column) -> Column:
         part["birth_date"].alias("birth_date"),
         F.when(part["sex"] == "<", "").otherwise(part["sex"]).alias("sex"),
         part["expiry_date"].alias("expiry_date"),
-        valid.alias("valid_composite"),
+        (F.size(_faults(text, codes)) == 0).alias("valid_composite"),
     )
 
 
