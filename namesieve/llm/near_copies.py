@@ -11,10 +11,14 @@ most of the other pairs.
 Texts are never shuffled, only keys: (key, node, sizes) once. Keys that one text has alone end there; texts that share
 the same keys with each other are one group, however many keys these are. Each group first links its texts to the
 smallest text of about their size. Groups that are then one component are done; of the others, texts outside the
-group's largest component are compared with all, in tiles of ``PIECE`` by ``PIECE`` texts, so neither a large group of
-near copies nor a frequent key is formed into all its pairs, held by one task, or cut short.
-
-Candidates are compared by their whole sets. A set is made where its text is read (a bitmap of fixed size tells which
+group's largest component are compared with all, in tiles of ``PIECE`` by ``PIECE`` texts. In ``ROUNDS`` rounds a text
+takes a few partners of other components, which makes most of a large group of near copies one component; then it
+takes all that are left. So neither such a group nor a frequent key is formed into all its pairs, held by one task, or
+cut short.
+
+Candidates are first held against their sketches: how many shingles fall into each of some slots, about two to a slot;
+sets have at most the sum of the smaller counts in common, so most pairs that merely share a key end here and no link
+does. The others are compared by their whole sets. A set is made where its text is read (a bitmap of fixed size tells which
 are needed; a text it lets through in vain is only work), and sent to the texts it is compared with, each of which is
 kept once for many partners. Tables in the shared folder are deleted after their last reader.
 
@@ -45,6 +49,11 @@ COMMON = 16
 HEAVY = 1 << 20
 #: Texts on each side of a tile, and members of a set's row of partners.
 PIECE = 4096
+#: Slots of the small sketch that comes to a tile with each text.
+SLOTS = 64
+#: Rounds before the last, and partners that a text takes in each.
+ROUNDS = 2
+PARTNERS = 4
 #: Bits of the map of texts whose sets are needed.
 _MAP_BITS = 26
 _CHUNK = 65_536
@@ -82,6 +91,28 @@ def _simhash(shingles: np.ndarray) -> int:
     return int(np.packbits(counts * 2 > len(shingles), bitorder="little").view("<i8")[0])
 
 
+def _sketch(shingles: np.ndarray) -> bytes:
+    """Counts of shingles in a power of two of slots, or nothing if one is too large."""
+    slots = 1 << max(0, (len(shingles) // 2).bit_length())
+    counts = np.bincount((shingles >> np.uint64(32)).astype(np.int64) & (slots - 1), minlength=slots)
+    return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else b""
+
+
+def _small(shingles: np.ndarray) -> bytes:
+    """The same in ``SLOTS`` slots; 255 stands for that many or more."""
+    counts = np.bincount((shingles >> np.uint64(32)).astype(np.int64) & (SLOTS - 1), minlength=SLOTS)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def _in_common(a: bytes, b: bytes) -> int:
+    """The most shingles that sets with these sketches can have in common."""
+    x, y = (np.frombuffer(s, np.uint8).astype(np.int64) for s in (a, b))
+    if not len(x) or not len(y):
+        return 1 << 40
+    fewer = min(len(x), len(y))
+    return int(np.minimum(x.reshape(-1, fewer).sum(0), y.reshape(-1, fewer).sum(0)).sum())
+
+
 def key_count(n: int) -> int:
     return n - int(np.ceil(SIMILARITY * n - 1e-9)) + 1 if n else 0
 
@@ -98,11 +129,20 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes = batch.column(0).to_pylist()
         new = [i for i, n in enumerate(nodes) if not (n in seen or seen.add(n))]
         batch = batch.take(pa.array(new, pa.int64()))
-        rows = [(i, len(s), _simhash(s), s[: key_count(len(s))].view(np.int64)) for i, s in _sets(batch, 1)]
+        rows = [(i, len(s), _simhash(s), s[: key_count(len(s))].view(np.int64), _sketch(s), _small(s)) for i, s in _sets(batch, 1)]
         if rows:
-            at, sizes, fps, keys = zip(*rows)
+            at, sizes, fps, keys, sketches, small = zip(*rows)
             columns = [batch.column(0).take(pa.array(at)), pa.array(sizes, pa.int32()), pa.array(fps, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*columns, _lists(keys, pa.int64())], ["node", "n", "fp", "keys"])
+            columns += [_lists(keys, pa.int64()), pa.array(sketches, pa.binary()), pa.array(small, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "n", "fp", "keys", "sketch", "small"])
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) whose sizes and sketches allow the similarity."""
+    for batch in batches:
+        columns = [batch.column(i).to_pylist() for i in range(2, 6)]
+        keep = [_in_common(x, y) >= SIMILARITY / (1 + SIMILARITY) * (n + m) - 1e-6 for n, m, x, y in zip(*columns)]
+        yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in range(2)], ["a", "b"])
 
 
 def _slot(key: np.ndarray) -> np.ndarray:
@@ -294,11 +334,17 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pa.Table.from_batches(out).combine_chunks().to_batches()
 
 
-def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of texts of different components that may link, of each tile: those that ask and those that answer."""
+def _tiles(most: int | None, seed: int = 0):
+    """Pairs of texts of different components that may link, of each tile: those that ask and those that answer.
+
+    With ``most``, each that asks takes so many of its partners, which differ with the seed.
+    """
 
     def pairs(rows: list[np.ndarray]) -> pa.RecordBatch:
-        node, n, rem, root, asks = rows
+        node, n, rem, root, asks, *small = rows
+        counts = np.frombuffer(b"".join(small[0]), np.uint8).reshape(len(node), SLOTS).astype(np.int32)
+        counts[counts == 255] = 1 << 20
+        chance = np.random.default_rng([seed, len(node)])
         ask, own = (np.flatnonzero(asks == x) for x in (1, 0))
         own = own[np.argsort(n[own], kind="stable")]
         found = [np.empty((2, 0), np.int64)]
@@ -309,27 +355,41 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             b = own[low:high]
             fit = _may_link(n[a][:, None], rem[a][:, None], n[b], rem[b]) & (root[a][:, None] != root[b])
             x, y = np.nonzero(fit)
+            for k in range(0, len(x), 100_000):
+                i, j = a[x[k : k + 100_000]], b[y[k : k + 100_000]]
+                enough = np.minimum(counts[i], counts[j]).sum(1) >= SIMILARITY / (1 + SIMILARITY) * (n[i] + n[j]) - 1e-6
+                fit[x[k : k + 100_000], y[k : k + 100_000]] = enough
+            if most is not None and fit.shape[1] > most:
+                drawn = np.where(fit, chance.random(fit.shape, np.float32), 2)
+                chosen = np.argpartition(drawn, most, axis=1)[:, :most]
+                taken = np.zeros_like(fit)
+                np.put_along_axis(taken, chosen, True, axis=1)
+                fit &= taken
+            x, y = np.nonzero(fit)
             found.append(np.stack([node[a[x]], node[b[y]]]))
         both = np.sort(np.concatenate(found, axis=1), axis=0)
         both = np.unique(both, axis=1)
         return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
 
-    place, held = None, []
-    for batch in batches:
-        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        digest, tile = columns[:2]
-        cuts = np.flatnonzero((digest[1:] != digest[:-1]) | (tile[1:] != tile[:-1])) + 1
-        for start, stop in zip([0, *cuts.tolist()], [*cuts.tolist(), len(digest)]):
-            if stop == start:
-                continue
-            here = (digest[start], tile[start])
-            if here != place and held:
-                yield pairs([np.concatenate(x) for x in zip(*held)])
-                held = []
-            place = here
-            held.append([c[start:stop].astype(np.int64) for c in columns[2:]])
-    if held:
-        yield pairs([np.concatenate(x) for x in zip(*held)])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, held = None, []
+        for batch in batches:
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            digest, tile = columns[:2]
+            cuts = np.flatnonzero((digest[1:] != digest[:-1]) | (tile[1:] != tile[:-1])) + 1
+            for start, stop in zip([0, *cuts.tolist()], [*cuts.tolist(), len(digest)]):
+                if stop == start:
+                    continue
+                here = (digest[start], tile[start])
+                if here != place and held:
+                    yield pairs([np.concatenate(x) for x in zip(*held)])
+                    held = []
+                place = here
+                held.append([*[c[start:stop].astype(np.int64) for c in columns[2:7]], columns[7][start:stop]])
+        if held:
+            yield pairs([np.concatenate(x) for x in zip(*held)])
+
+    return run
 
 
 def _as_sets(wanted):
@@ -397,7 +457,7 @@ def links(texts: DataFrame, tables: Scratch) -> DataFrame:
     """Pairs (a, b) of nodes that span all components of similar texts. ``texts``: node and text, repeats allowed."""
     context = texts.sparkSession.sparkContext
     binary = texts.select("node", F.col("text").cast("binary").alias("text"))
-    described = tables.written(binary.mapInArrow(_describe, "node long, n int, fp long, keys array<long>"), "texts")
+    described = tables.written(binary.mapInArrow(_describe, "node long, n int, fp long, keys array<long>, sketch binary, small binary"), "texts")
 
     slot = F.transform("keys", lambda k: k.bitwiseAND(F.lit(0xFFFFFFFF)))
     slots = described.select(F.explode(slot).alias("slot")).groupBy("slot").count()
@@ -424,13 +484,33 @@ def links(texts: DataFrame, tables: Scratch) -> DataFrame:
     trees = trees.join(prints.select(F.col("fp").alias("b"), F.col("hub").alias("other")), "b").select("node", "other")
     equal = described.join(prints, "fp").select("node", F.col("hub").alias("other"))
     first = stars.union(trees).union(equal).where("node <> other").select(low, high).distinct()
-    first = _verified(binary, tables.written(first, "first"), tables)
-    tables.drop("texts", "prints", "first")
-
-    roots = components(first, "a", "b").select(F.col("node").alias("of"), "root")
+    sketches = described.select("node", "n", "sketch")
+    small = described.groupBy(F.col("node").alias("of")).agg(F.first("small").alias("small"))
+    links_ = _verified(binary, _sketched(first, sketches, tables), tables)
+    tables.drop("prints", "candidates")
+    for turn in range(ROUNDS + 1):
+        most = PARTNERS if turn < ROUNDS else None
+        found = _other_pairs(groups, small, components(links_, "a", "b"), tables, most, turn)
+        links_ = links_.union(_verified(binary, _sketched(found, sketches, tables), tables))
+        tables.drop("rooted", "candidates")
+    return links_
+
+
+def _sketched(pairs: DataFrame, sketches: DataFrame, tables: Scratch) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches leave."""
+    of = lambda c: sketches.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"s_{c}"))
+    known = pairs.join(of("a").dropDuplicates(["a"]), "a").join(of("b").dropDuplicates(["b"]), "b")
+    known = known.select("a", "b", "n_a", "n_b", "s_a", "s_b")
+    return tables.written(known.mapInArrow(_alike, "a long, b long"), "candidates")
+
+
+def _other_pairs(groups: DataFrame, small: DataFrame, roots: DataFrame, tables: Scratch, most: int | None, turn: int) -> DataFrame:
+    """Pairs of texts of different components that share a group; some of them, with ``most``."""
+    known = small.join(roots.select(F.col("node").alias("of"), "root"), "of", "left")
     rows = groups.select("digest", F.explode(F.arrays_zip("nodes", "sizes", "rems")).alias("r"))
     rows = rows.select("digest", F.col("r.nodes").alias("node"), F.col("r.sizes").alias("n"), F.col("r.rems").alias("rem"))
-    rooted = rows.join(roots, F.col("node") == F.col("of"), "left").select("digest", "node", "n", "rem", F.coalesce("root", "node").alias("root"))
+    rooted = rows.join(known, F.col("node") == F.col("of"))
+    rooted = rooted.select("digest", "node", "n", "rem", F.coalesce("root", "node").alias("root"), "small")
     rooted = tables.written(rooted, "rooted")
     each = rooted.groupBy("digest", "root").agg(F.count("*").alias("k"))
     mixed = each.groupBy("digest").agg(F.max(F.struct("k", "root")).alias("most"), F.sum("k").alias("all")).where("all > most.k")
@@ -447,12 +527,10 @@ def links(texts: DataFrame, tables: Scratch) -> DataFrame:
     answering = F.transform(every("rows"), lambda r: place(r * F.col("cols") + in_col, 0))
     asking = F.transform(every("cols"), lambda c: place(in_row * F.col("cols") + c, 1))
     places = F.when(F.col("root") == F.col("main"), answering).otherwise(F.concat(answering, asking))
-    tiles = open_.select("digest", "node", "n", "rem", "root", F.explode(places).alias("p"))
-    tiles = tiles.select("digest", "p.tile", "node", "n", "rem", "root", "p.asks")
-    tiles = tiles.repartition("digest", "tile").sortWithinPartitions("digest", "tile")
-    others = tables.written(tiles.mapInArrow(_tiles, "a long, b long").distinct(), "others")
-    tables.drop("groups", "rooted")
-    return first.union(_verified(binary, others, tables))
+    tiles = open_.select("digest", "node", "n", "rem", "root", "small", F.explode(places).alias("p"))
+    tiles = tiles.select("digest", "p.tile", "node", "n", "rem", "root", "p.asks", "small")
+    tiles = tiles.repartition("digest", "tile").sortWithinPartitions("digest", "tile", "node")
+    return tiles.mapInArrow(_tiles(most, turn), "a long, b long").distinct()
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
