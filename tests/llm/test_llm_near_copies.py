@@ -63,7 +63,7 @@ def test_a_key_of_many_texts_is_cut_and_keeps_one_hub():
     rng = np.random.default_rng(3)
     m = 3 * near_copies.PIECE + 100
     key = np.r_[np.full(5, 1), np.full(m, 2), [3], np.full(2, 4)]
-    n = np.r_[np.full(5, 30), np.sort(rng.integers(95, 100, m)), [7], [8, 9]]
+    n = np.r_[np.full(5, 30), np.sort(rng.integers(100, 105, m)), [7], [8, 9]]
     node = np.r_[np.arange(5), 1000 + np.arange(m), [1], [2, 3]]
     rows = [key, node, n, n]
     out, groups = [], near_copies._Grouping()
