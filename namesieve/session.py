@@ -78,6 +78,13 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read back: later steps read only the columns they use."""
+    folder = shared_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """A small file of its own name, such as a configuration, in whatever store the path is in."""
     jvm = spark._jvm
