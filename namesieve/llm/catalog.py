@@ -67,11 +67,10 @@ URL_RULES = [
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 ]
-#: Adverts, gambling, pills and the like: what is blocked where no rule decides.
-BLOCKED_HOSTS = [
-    "ads-track.example.com", "adult-x.example.com", "casino-win.example.net", "cheap-pills.example.net",
-    "free-bets.example.net", "spam-farm.example.org",
-]
+#: Adverts, adult pages, gambling, pills and spam, under every ending they are seen with: blocked where no rule decides.
+BLOCKED_FAMILIES = ["ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
+ENDINGS = ["example.com", "example.net", "example.org"]
+BLOCKED_HOSTS = [f"{family}.{ending}" for family in BLOCKED_FAMILIES for ending in ENDINGS]
 
 
 def op7_url_digests(spark: SparkSession, folder: str) -> DataFrame:

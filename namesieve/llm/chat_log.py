@@ -9,7 +9,8 @@ A message is rendered as ``<|im_start|>role``, a line break, its text, ``<|im_en
 texts every ``<``, any backslashes, ``|`` gets one backslash more, which the reader takes away, so no text can pass
 for a mark; line breaks and backslashes of a role are escaped too. The loss mask covers an assistant's text and
 nothing else, as a range of code points of the rendered message. A conversation is the row of its messages in
-order: it is never held as one value, so a conversation that holds a third of all rows is streamed.
+order: it is never held as one value, so a conversation that holds a third of all rows is streamed. Its digest is a
+hash over all of it, which has to be one stream, so ``summaries`` brings a conversation's messages to one task.
 
 Defined results: a null text is empty, a null role is the empty role; a message without events other than ``start``
 is empty; events of an unknown or null kind are skipped; ties are ordered by their tie key, events with equal
@@ -24,7 +25,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -147,25 +148,31 @@ def summaries(rendered: DataFrame) -> DataFrame:
 
 
 def log_of(turns: DataFrame) -> DataFrame:
-    """The event log of a table (conv_id, turn, role, text): each row is started and streamed in two deltas.
+    """An event log of a table (conv_id, turn, role, text) whose fold gives the table again.
+
+    Each row is started, a wrong draft is streamed, and then the draft is thrown away and the text streamed anew in
+    three deltas (``regenerate``), or replaced by the text's first third and streamed on (``edit``); a hash of the row
+    tells which. Sequence numbers have gaps, and later events stand before earlier ones.
 
     Rows of one turn are ordered by role and a hash of their text; equal rows are told apart by where they are.
     """
-    half = (F.length("text") / 2).cast("int")
+    hashed = F.xxhash64("role", "text")
     order = F.concat_ws(
-        "/", F.coalesce("role", F.lit("")), F.hex(F.xxhash64("role", "text")),
-        F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0"),
-    )
-    steps = F.array(
-        F.struct(F.lit(0).alias("seq"), F.lit("start").alias("kind"), F.lit(None).cast("string").alias("piece")),
-        F.struct(F.lit(1).alias("seq"), F.lit("delta").alias("kind"), F.substring("text", F.lit(1), half).alias("piece")),
-        F.struct(
-            F.lit(2).alias("seq"), F.lit("delta").alias("kind"),
-            F.substring("text", half + 1, F.length("text")).alias("piece"),
-        ),
-    )
-    rows = turns.select("conv_id", "turn", "role", "text").withColumn("tie", order)
-    rows = rows.withColumn("step", F.explode(steps))
+        "/", F.coalesce("role", F.lit("")), F.hex(hashed), F.lpad(F.monotonically_increasing_id().cast("string"), 20, "0")
+    )
+    third = F.ceil(F.length("text") / 3).cast("int")
+    one, two, three = (F.substring("text", third * k + 1, third) for k in range(3))
+    draft = F.reverse(F.substring("text", F.lit(1), third * 2))
+    none = F.lit(None).cast("string")
+
+    def log(*events: tuple[str, Column]) -> Column:
+        steps = [F.struct(F.lit(10 * k).alias("seq"), F.lit(kind).alias("kind"), piece.alias("piece")) for k, (kind, piece) in enumerate(events)]
+        return F.array(*reversed(steps))
+
+    again = log(("start", none), ("delta", draft), ("regenerate", none), ("delta", one), ("delta", two), ("delta", three))
+    edited = log(("start", none), ("delta", draft), ("edit", one), ("delta", two), ("delta", three))
+    rows = turns.select("conv_id", "turn", "role", "text", hashed.alias("hashed")).withColumn("tie", order)
+    rows = rows.withColumn("step", F.explode(F.when(F.col("hashed") % 2 == 0, again).otherwise(edited)))
     return rows.select(
         "conv_id", "turn", "tie", F.col("step.seq").alias("seq"), F.col("step.kind").alias("kind"), "role",
         F.col("step.piece").alias("text"),
