@@ -341,6 +341,18 @@ def passport_faults(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def number_warnings(spark: SparkSession, folder: str) -> DataFrame:
+    """Submitted numbers that are the document's own, have a character more, or are another one."""
+    k = F.col("request_id").cast("long") % 3
+    own = F.lpad(F.replace("request_id", F.lit("1"), F.lit("K")), 9, "0")
+    number = F.when(k == 0, own).when(k == 1, F.concat(own, F.lit("X"))).otherwise("QQQQQQ")
+    documents = kyc.read_documents(_passport_lines(spark, folder), _as_of())
+    people = _identity(spark, folder).withColumn("document_number", number)
+    compared = kyc.verify(people, documents, faces.match_faces(_faces(spark, folder), 0.0)).select("request_id", "comparison.*")
+    same = F.array_contains("matches", "document_number")
+    return compared.select("request_id", F.array_join("warnings", ",").alias("warnings"), same.alias("number_matches"))
+
+
 def kyc_events(spark: SparkSession, folder: str) -> DataFrame:
     """An audit event for every identity check."""
     verified = _verified(spark, folder)
@@ -367,6 +379,7 @@ QUERIES = {
         rule_extract,
         passport_faults,
         kyc_events,
+        number_warnings,
     )
 }
 
@@ -532,6 +545,8 @@ SELECT doc_id::VARCHAR AS request_id, number IS NOT NULL AS document_valid, numb
 0.6::DOUBLE AS ocr_confidence FROM f""",
     "passport_faults": """SELECT c_custkey, ['', 'birth_date', 'expiry_date', 'nationality', 'nationality', 'sex', 'document_type', 'names',
 'number_check', 'composite_check'][c_custkey % 10 + 1] AS faults, c_custkey % 10 = 0 AS valid FROM customer""",
+    "number_warnings": """SELECT c_custkey::VARCHAR AS request_id, c_custkey % 3 < 2 AS number_matches,
+CASE WHEN c_custkey % 3 = 1 THEN 'Document number similar but not exact (similarity: 0.95)' ELSE '' END AS warnings FROM customer""",
     "kyc_events": f"""WITH {_PASSPORT_SQL} SELECT 'kyc_verification' AS event_type, '2024-02-01T00:00:00' AS timestamp,
 c_custkey::VARCHAR AS request_id, 'completed' AS status, checks AND NOT gone AS document_verified FROM v""",
     "rule_extract": """WITH t AS (SELECT doc_id, lang, text || ' end' AS s FROM documents),

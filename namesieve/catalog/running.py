@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from namesieve import schemas
 from namesieve.catalog import files, lists
 from namesieve.catalog import inputs as I
-from namesieve.operators import audit, combine, snapshots
+from namesieve.operators import audit, combine, reports, snapshots
 from namesieve.plans.refresh import refresh_to
 from namesieve.session import shared_folder
 from namesieve.sources import eu
@@ -148,6 +148,25 @@ def eu_rejects(spark: SparkSession, folder: str) -> DataFrame:
     return rejected.select(F.col("Entity_LogicalId").alias("entity"), "rejected")
 
 
+def eu_dates(spark: SparkSession, folder: str) -> DataFrame:
+    """First and last designation of every entity of the EU layout, as dates."""
+    dated = eu.with_dates(lists._raw_eu(spark, folder))
+    day = F.col("Entity_DesignationDate")
+    found = dated.groupBy(F.col("Entity_LogicalId").alias("entity")).agg(F.min(day).alias("first"), F.max(day).alias("last"))
+    return found.select("entity", F.col("first").cast("string").alias("first"), F.col("last").cast("string").alias("last"))
+
+
+def list_fallback(spark: SparkSession, folder: str) -> DataFrame:
+    """Entries of one source of a list that is found below a root only, read as screening reads it."""
+    root = shared_folder(spark, "root")
+    rows = I.watchlist(spark, folder)
+    rows = rows.withColumns({c: F.lit("") for c in schemas.REQUIRED if c not in rows.columns})
+    name = f"lists-{uuid.uuid4().hex}"  # no folder of this name where the query runs
+    rows.write.parquet(f"{root}/{name}/combined")
+    loaded = combine.load_search_list(spark, f"{name}/combined", root=root, format="parquet")
+    return reports.rows_of_source(loaded, "EU").select("dataid", "search_name")
+
+
 def newest_files(spark: SparkSession, folder: str) -> DataFrame:
     """Of three lists written one after another the newest by time, its age eight days later, and its entries."""
     base = shared_folder(spark, "by-time")
@@ -184,6 +203,8 @@ QUERIES = {
         audit_lines,
         audit_rejects,
         eu_rejects,
+        eu_dates,
+        list_fallback,
         newest_files,
         expired_days,
     )
@@ -209,6 +230,9 @@ substr('{"request_id":"' || event_id || '","event_type":"' || event_type || '","
 SELECT number, CASE event_id % 10 WHEN 3 THEN 'cut off' WHEN 5 THEN 'blank' ELSE 'no JSON object' END AS reason,
 CASE event_id % 10 WHEN 3 THEN cut WHEN 5 THEN '' ELSE 'at line 7: no event' END AS line FROM n WHERE event_id % 10 IN (3, 5, 7)""",
     "eu_rejects": """SELECT l_orderkey::VARCHAR AS entity, count(*) AS rejected FROM lineitem WHERE l_orderkey % 7 = 0 GROUP BY 1""",
+    "eu_dates": """SELECT l_orderkey::VARCHAR AS entity, min(l_shipdate)::DATE::VARCHAR AS first, max(l_shipdate)::DATE::VARCHAR AS last
+FROM lineitem GROUP BY 1""",
+    "list_fallback": f"""SELECT dataid, upper(name) AS search_name FROM ({I.WATCHLIST_SQL}) WHERE source = 'EU'""",
     "newest_files": f"""SELECT '20240108' AS list, source, count(*) AS entries, 8.0::DOUBLE AS age_days, true AS needs_update
 FROM ({I.WATCHLIST_SQL}) WHERE dataid::BIGINT % 4 <> 2 GROUP BY source""",
     "expired_days": """SELECT ts::DATE::VARCHAR AS event_date, count(*) AS events,
