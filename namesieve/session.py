@@ -47,7 +47,7 @@ def ship_package(spark: SparkSession) -> None:
     # The driver serves the archive from here as long as it runs.
     archive = Path(tempfile.mkdtemp(prefix="spark-")).resolve() / "namesieve.zip"
     with zipfile.ZipFile(archive, "w") as out:
-        for file in sorted(package.rglob("*.py")):
+        for file in sorted(f for f in package.rglob("*") if f.suffix in (".py", ".csv")):
             out.write(file, file.relative_to(package.parent))
     context.addPyFile(str(archive))
     context._namesieve_shipped = True
