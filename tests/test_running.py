@@ -5,7 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from namesieve.operators import aml, audit, combine, match, snapshots
+from namesieve.operators import aml, audit, combine, match, reports, snapshots
 from namesieve.streaming import screening as stream
 
 SCHEMA = "request_id string, event_type string, timestamp string, received timestamp"
@@ -123,3 +123,9 @@ def test_response_parts_hold_every_match_once(spark):
     assert {r.parts for r in parts if r.request_id == "a"} == {5} and max(len(r.matches) for r in parts) < 700
     assert sorted(m.m for r in parts for m in r.matches if r.request_id == "a") == sorted(str(i) for i in range(2500))
     assert [[m.m for m in r.matches] for r in parts if r.request_id == "b"] == [["x", "x"]]
+
+
+def test_figures_of_a_job_come_from_what_was_written(spark, tmp_path):
+    figures = reports.measured(spark.range(1000), lambda df: df.write.parquet(str(tmp_path / "out")))
+    assert figures["records"] == 1000 and figures["records_per_second"] > 0
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 1000
