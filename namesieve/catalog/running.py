@@ -33,6 +33,10 @@ def _delivered(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+#: Rows of one file of late events.
+LATE_ROWS = 250_000
+
+
 def audit_stream_late(spark: SparkSession, folder: str) -> DataFrame:
     """Events in several batches of five days of arrival, keys kept for two days: each event is stored once.
 
@@ -41,11 +45,14 @@ def audit_stream_late(spark: SparkSession, folder: str) -> DataFrame:
     base = shared_folder(spark, "late")
     rows = _delivered(spark, folder).withColumn("batch", F.floor(F.datediff("received", F.lit("2024-01-01")) / 5))
     rows = rows.persist()
-    for n in sorted(r[0] for r in rows.select("batch").distinct().collect()):
-        rows.where(F.col("batch") == n).drop("batch").coalesce(1).write.mode("append").json(f"{base}/in")
+    counts = {r[0]: r[1] for r in rows.groupBy("batch").count().collect()}
+    # All batches have as many files, so a trigger of that many files is one batch; batches that are too small for it are one with others.
+    each = -(-max(counts.values()) // LATE_ROWS)
+    for n in sorted(counts):
+        rows.where(F.col("batch") == n).drop("batch").repartition(each).write.mode("append").json(f"{base}/in")
     rows.unpersist()
     schema = "request_id string, event_type string, timestamp string, received timestamp"
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(f"{base}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", each).json(f"{base}/in")
     audit_stream(stream, f"{base}/out", f"{base}/state", within="2 days", arrived="received").awaitTermination()
     stored = spark.read.schema("request_id string, event_type string, timestamp string, event_date date").json(f"{base}/out")
     return stored.select("request_id", "event_type", "timestamp", F.col("event_date").cast("string").alias("event_date"))
@@ -107,14 +114,14 @@ def latest_partitions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _log(spark: SparkSession, folder: str) -> str:
-    """Events as JSON lines; some are cut off, blank or no JSON."""
+    """Events as JSON lines, in files that follow one another; some are cut off, blank or no JSON."""
     path = shared_folder(spark, "log")
     rows = I.table(spark, folder, "events").select(
         "event_id", F.to_json(F.struct(F.col("event_id").cast("string").alias("request_id"), "event_type", F.col("value").alias("risk_score"))).alias("j")
     )
     k = F.col("event_id")
     line = F.when(k % 10 == 3, F.substring("j", 1, 20)).when(k % 10 == 5, F.lit("  ")).when(k % 10 == 7, F.lit("at line 7: no event"))
-    rows.repartition(1).sortWithinPartitions("event_id").select(line.otherwise(F.col("j")).alias("value")).write.text(path)
+    rows.sort("event_id").select(line.otherwise(F.col("j")).alias("value")).write.text(path)
     return path
 
 
@@ -126,9 +133,8 @@ def audit_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 def audit_rejects(spark: SparkSession, folder: str) -> DataFrame:
     """The other lines, with place and reason."""
-    rejects = audit.rejects_of(audit.scan_lines(spark, _log(spark, folder)))
-    # The split's bytes lie before the number: whole files are one split up to its size.
-    return rejects.where("split = 0").select("number", "reason", F.trim("line").alias("line"))
+    rejects = audit.rejects_of(audit.scan_lines(spark, _log(spark, folder)), whole_log=True)
+    return rejects.select("number", "reason", F.trim("line").alias("line"))
 
 
 def eu_rejects(spark: SparkSession, folder: str) -> DataFrame:
@@ -137,13 +143,10 @@ def eu_rejects(spark: SparkSession, folder: str) -> DataFrame:
     raw = lists._raw_eu(spark, folder).drop("ord")
     line = F.concat_ws(";", *[F.coalesce(F.translate(c, ';"\n', "   "), F.lit("")) for c in raw.columns])
     entity = F.col("Entity_LogicalId").cast("long")
-    rows = raw.select(
-        F.pmod(entity, F.lit(8)).alias("file"),
-        F.lit(1).alias("row"),
-        F.when(entity % 7 == 0, F.concat(line, F.lit(";one;more"))).otherwise(line).alias("value"),
-    )
-    heads = spark.range(8).select(F.col("id").alias("file"), F.lit(0).alias("row"), F.lit(";".join(raw.columns)).alias("value"))
-    rows.union(heads).repartition(8, "file").sortWithinPartitions("row").select("value").write.text(path)
+    # Every file starts with the header: it is the name of the only column.
+    value = F.when(entity % 7 == 0, F.concat(line, F.lit(";one;more"))).otherwise(line)
+    as_is = {"sep": "\x01", "quote": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    raw.select(value.alias(";".join(raw.columns))).write.csv(path, header=True, **as_is)
     rejected = eu.rejected_eu(spark, path).groupBy("Entity_LogicalId").agg(F.count("*").alias("rejected"))
     return rejected.select(F.col("Entity_LogicalId").alias("entity"), "rejected")
 

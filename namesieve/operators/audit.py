@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
+from pyspark.sql.window import Window
 
 from namesieve import schemas
 from namesieve.functions.text import fill, strip
@@ -131,16 +132,20 @@ def events_of(lines: DataFrame) -> DataFrame:
     return lines.where(F.col("reason").isNull()).select("event.*").drop("_corrupt_record")
 
 
-def rejects_of(lines: DataFrame) -> DataFrame:
-    """``file, split, number, reason, line``: the number counts from 1 where the file's split begins.
+def rejects_of(lines: DataFrame, whole_log: bool = False) -> DataFrame:
+    """``file, split, number, reason, line``: the number counts from 1 where the file begins.
 
-    Only the first row of every split is looked up, so nothing is sorted and no file passes through one task.
+    With ``whole_log`` it counts on from file to file, in the order of their paths. Only a row per split is ordered, so no
+    line is sorted and no file passes through one task.
     """
     place = [F.col("ord.file").alias("file"), F.col("ord.split").alias("split")]
-    first = lines.groupBy(*place).agg(F.min("ord.row").alias("first"))
+    splits = lines.groupBy(*place).agg(F.min("ord.row").alias("first"), F.count("*").alias("lines"))
+    earlier = Window.orderBy("file", "split") if whole_log else Window.partitionBy("file").orderBy("split")
+    so_far = F.coalesce(F.sum("lines").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = splits.select("file", "split", (so_far - F.col("first") + 1).alias("_offset"))
     bad = lines.where(F.col("reason").isNotNull()).select(*place, F.col("ord.row").alias("row"), "reason", "line")
-    counted = bad.join(first, ["file", "split"])
-    return counted.select("file", "split", (F.col("row") - F.col("first") + 1).alias("number"), "reason", "line")
+    counted = bad.join(starts, ["file", "split"])
+    return counted.select("file", "split", (F.col("row") + F.col("_offset")).alias("number"), "reason", "line")
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:

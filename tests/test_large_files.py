@@ -69,3 +69,10 @@ def test_eu_rejects_writes_as_many_files_as_it_has_tasks(spark, monkeypatch):
     parts = glob.glob(f"{seen[0].removeprefix('file:')}/part-*")
     heads = {open(p).readline().split(";")[0] for p in parts if os.path.getsize(p)}
     assert heads == {"fileGenerationDate"} and len(parts) < 8
+
+
+def test_late_events_of_several_files_a_batch_are_stored_once(spark, monkeypatch):
+    monkeypatch.setattr(running, "LATE_ROWS", 100, raising=False)
+    wanted = spark.read.parquet(f"{FOLDER}/events.parquet").select(F.col("event_id").cast("string"), "event_type")
+    got = running.audit_stream_late(spark, FOLDER).select("request_id", "event_type")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, wanted.collect()))
