@@ -18,7 +18,7 @@ cut short.
 
 Candidates are first held against their sketches: how many shingles fall into each of some slots, about two to a slot;
 sets have at most the sum of the smaller counts in common, so most pairs that merely share a key end here and no link
-does. The others are compared by their whole sets. A set is made where its text is read (a bitmap of fixed size tells which
+does. A tile does so itself, so only pairs that may be links leave it, some at a time. The others are compared by their whole sets. A set is made where its text is read (a bitmap of fixed size tells which
 are needed; a text it lets through in vain is only work), and sent to the texts it is compared with, each of which is
 kept once for many partners. Tables in the shared folder are deleted after their last reader.
 
@@ -57,6 +57,9 @@ PARTNERS = 4
 #: Bits of the map of texts whose sets are needed.
 _MAP_BITS = 26
 _CHUNK = 65_536
+#: Counts of sketches that are compared at a time, and pairs that leave a tile at a time.
+_CELLS = 1 << 21
+_PAIRS = 50_000
 _BYTES = 6
 #: Counts of byte values, lane by lane, give the counts of bits.
 _LANES = np.arange(8) * 256
@@ -104,13 +107,32 @@ def _small(shingles: np.ndarray) -> bytes:
     return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
 
-def _in_common(a: bytes, b: bytes) -> int:
-    """The most shingles that sets with these sketches can have in common."""
-    x, y = (np.frombuffer(s, np.uint8).astype(np.int64) for s in (a, b))
-    if not len(x) or not len(y):
-        return 1 << 40
-    fewer = min(len(x), len(y))
-    return int(np.minimum(x.reshape(-1, fewer).sum(0), y.reshape(-1, fewer).sum(0)).sum())
+def _need(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """What sets of these sizes must have in common to be similar."""
+    return SIMILARITY / (1 + SIMILARITY) * (n + m) - 1e-6
+
+
+def _folded(sketches: np.ndarray, slots: int) -> np.ndarray:
+    """The sketches, each of at least so many slots, as rows of counts in so many."""
+    sizes = np.fromiter(map(len, sketches), np.int64, len(sketches))
+    out = np.empty((len(sketches), slots), np.int32)
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes == size)
+        counts = np.frombuffer(b"".join(sketches[at]), np.uint8).reshape(len(at), -1, slots)
+        out[at] = counts[:, 0] if size == slots else counts.sum(1, dtype=np.int32)
+    return out
+
+
+def _sketches_allow(n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether the sets of these pairs of sizes and sketches can be similar; sets without a sketch can."""
+    keep = np.ones(len(n), bool)
+    fewer = np.fromiter((min(len(a), len(b)) for a, b in zip(x, y)), np.int64, len(n))
+    for slots in np.unique(fewer[fewer > 0]).tolist():
+        rows = np.flatnonzero(fewer == slots)
+        for at in np.split(rows, range(_CELLS // slots + 1, len(rows), _CELLS // slots + 1)):
+            both = np.minimum(_folded(x[at], slots), _folded(y[at], slots)).sum(1)
+            keep[at] = both >= _need(n[at], m[at])
+    return keep
 
 
 def key_count(n: int) -> int:
@@ -140,8 +162,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b) whose sizes and sketches allow the similarity."""
     for batch in batches:
-        columns = [batch.column(i).to_pylist() for i in range(2, 6)]
-        keep = [_in_common(x, y) >= SIMILARITY / (1 + SIMILARITY) * (n + m) - 1e-6 for n, m, x, y in zip(*columns)]
+        keep = _sketches_allow(*[batch.column(i).to_numpy(zero_copy_only=False) for i in range(2, 6)])
         yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in range(2)], ["a", "b"])
 
 
@@ -206,7 +227,7 @@ def _bitmap(nodes: DataFrame):
 
 def _may_link(n_a, rem_a, n_b, rem_b) -> np.ndarray:
     """Whether sizes, and what is left from a shared key on, allow the similarity."""
-    need = SIMILARITY / (1 + SIMILARITY) * (n_a + n_b) - 1e-6
+    need = _need(n_a, n_b)
     return (np.minimum(n_a, n_b) >= need) & (np.minimum(rem_a, rem_b) >= need)
 
 
@@ -335,19 +356,19 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _tiles(most: int | None, seed: int = 0):
-    """Pairs of texts of different components that may link, of each tile: those that ask and those that answer.
+    """Pairs of texts of different components that their sketches let link, of each tile: those that ask and those that answer.
 
     With ``most``, each that asks takes so many of its partners, which differ with the seed.
     """
 
-    def pairs(rows: list[np.ndarray]) -> pa.RecordBatch:
-        node, n, rem, root, asks, *small = rows
-        counts = np.frombuffer(b"".join(small[0]), np.uint8).reshape(len(node), SLOTS).astype(np.int32)
+    def pairs(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        node, n, rem, root, asks, small, sketch = rows
+        counts = np.frombuffer(b"".join(small), np.uint8).reshape(len(node), SLOTS).astype(np.int32)
         counts[counts == 255] = 1 << 20
         chance = np.random.default_rng([seed, len(node)])
         ask, own = (np.flatnonzero(asks == x) for x in (1, 0))
         own = own[np.argsort(n[own], kind="stable")]
-        found = [np.empty((2, 0), np.int64)]
+        found: list[np.ndarray] = []
         for start in range(0, len(ask), 256):
             a = ask[start : start + 256]
             low = np.searchsorted(n[own], n[a].min() * SIMILARITY - 1e-6)
@@ -355,10 +376,11 @@ def _tiles(most: int | None, seed: int = 0):
             b = own[low:high]
             fit = _may_link(n[a][:, None], rem[a][:, None], n[b], rem[b]) & (root[a][:, None] != root[b])
             x, y = np.nonzero(fit)
-            for k in range(0, len(x), 100_000):
-                i, j = a[x[k : k + 100_000]], b[y[k : k + 100_000]]
-                enough = np.minimum(counts[i], counts[j]).sum(1) >= SIMILARITY / (1 + SIMILARITY) * (n[i] + n[j]) - 1e-6
-                fit[x[k : k + 100_000], y[k : k + 100_000]] = enough
+            step = _CELLS // SLOTS
+            for k in range(0, len(x), step):
+                i, j = a[x[k : k + step]], b[y[k : k + step]]
+                enough = np.minimum(counts[i], counts[j]).sum(1) >= _need(n[i], n[j])
+                fit[x[k : k + step], y[k : k + step]] = enough
             if most is not None and fit.shape[1] > most:
                 drawn = np.where(fit, chance.random(fit.shape, np.float32), 2)
                 chosen = np.argpartition(drawn, most, axis=1)[:, :most]
@@ -366,9 +388,18 @@ def _tiles(most: int | None, seed: int = 0):
                 np.put_along_axis(taken, chosen, True, axis=1)
                 fit &= taken
             x, y = np.nonzero(fit)
-            found.append(np.stack([node[a[x]], node[b[y]]]))
-        both = np.sort(np.concatenate(found, axis=1), axis=0)
-        both = np.unique(both, axis=1)
+            for k in range(0, len(x), _PAIRS):
+                i, j = a[x[k : k + _PAIRS]], b[y[k : k + _PAIRS]]
+                near = _sketches_allow(n[i], n[j], sketch[i], sketch[j])
+                found.append(np.sort([node[i[near]], node[j[near]]], axis=0))
+            if sum(f.shape[1] for f in found) >= _PAIRS:
+                yield batch_of(found)
+                found = []
+        if found:
+            yield batch_of(found)
+
+    def batch_of(found: list[np.ndarray]) -> pa.RecordBatch:
+        both = np.concatenate(found, axis=1)
         return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -382,12 +413,12 @@ def _tiles(most: int | None, seed: int = 0):
                     continue
                 here = (digest[start], tile[start])
                 if here != place and held:
-                    yield pairs([np.concatenate(x) for x in zip(*held)])
+                    yield from pairs([np.concatenate(x) for x in zip(*held)])
                     held = []
                 place = here
-                held.append([*[c[start:stop].astype(np.int64) for c in columns[2:7]], columns[7][start:stop]])
+                held.append([*[c[start:stop].astype(np.int64) for c in columns[2:7]], *[c[start:stop] for c in columns[7:]]])
         if held:
-            yield pairs([np.concatenate(x) for x in zip(*held)])
+            yield from pairs([np.concatenate(x) for x in zip(*held)])
 
     return run
 
@@ -484,14 +515,12 @@ def links(texts: DataFrame, tables: Scratch) -> DataFrame:
     trees = trees.join(prints.select(F.col("fp").alias("b"), F.col("hub").alias("other")), "b").select("node", "other")
     equal = described.join(prints, "fp").select("node", F.col("hub").alias("other"))
     first = stars.union(trees).union(equal).where("node <> other").select(low, high).distinct()
-    sketches = described.select("node", "n", "sketch")
-    small = described.groupBy(F.col("node").alias("of")).agg(F.first("small").alias("small"))
-    links_ = _verified(binary, _sketched(first, sketches, tables), tables)
+    links_ = _verified(binary, _sketched(first, described.select("node", "n", "sketch"), tables), tables)
     tables.drop("prints", "candidates")
     for turn in range(ROUNDS + 1):
         most = PARTNERS if turn < ROUNDS else None
-        found = _other_pairs(groups, small, components(links_, "a", "b"), tables, most, turn)
-        links_ = links_.union(_verified(binary, _sketched(found, sketches, tables), tables))
+        found = _other_pairs(groups, described, components(links_, "a", "b"), tables, most, turn)
+        links_ = links_.union(_verified(binary, tables.written(found, "candidates"), tables))
         tables.drop("rooted", "candidates")
     return links_
 
@@ -504,19 +533,20 @@ def _sketched(pairs: DataFrame, sketches: DataFrame, tables: Scratch) -> DataFra
     return tables.written(known.mapInArrow(_alike, "a long, b long"), "candidates")
 
 
-def _other_pairs(groups: DataFrame, small: DataFrame, roots: DataFrame, tables: Scratch, most: int | None, turn: int) -> DataFrame:
+def _other_pairs(groups: DataFrame, described: DataFrame, roots: DataFrame, tables: Scratch, most: int | None, turn: int) -> DataFrame:
     """Pairs of texts of different components that share a group; some of them, with ``most``."""
-    known = small.join(roots.select(F.col("node").alias("of"), "root"), "of", "left")
+    known = roots.select(F.col("node").alias("of"), "root")
     rows = groups.select("digest", F.explode(F.arrays_zip("nodes", "sizes", "rems")).alias("r"))
     rows = rows.select("digest", F.col("r.nodes").alias("node"), F.col("r.sizes").alias("n"), F.col("r.rems").alias("rem"))
-    rooted = rows.join(known, F.col("node") == F.col("of"))
-    rooted = rooted.select("digest", "node", "n", "rem", F.coalesce("root", "node").alias("root"), "small")
+    rooted = rows.join(known, F.col("node") == F.col("of"), "left")
+    rooted = rooted.select("digest", "node", "n", "rem", F.coalesce("root", "node").alias("root"))
     rooted = tables.written(rooted, "rooted")
     each = rooted.groupBy("digest", "root").agg(F.count("*").alias("k"))
     mixed = each.groupBy("digest").agg(F.max(F.struct("k", "root")).alias("most"), F.sum("k").alias("all")).where("all > most.k")
     parts = lambda n: F.ceil(n / PIECE).cast("int")
     mixed = mixed.select("digest", F.col("most.root").alias("main"), parts(F.col("all") - F.col("most.k")).alias("rows"), parts(F.col("all")).alias("cols"))
-    open_ = rooted.join(mixed, "digest")
+    sketches = described.groupBy("node").agg(F.first("small").alias("small"), F.first("sketch").alias("sketch"))
+    open_ = rooted.join(mixed, "digest").join(sketches, "node")
     at = F.xxhash64("node")
     in_row, in_col = F.pmod(at, F.col("rows")).cast("int"), F.pmod(at, F.col("cols")).cast("int")
 
@@ -527,8 +557,8 @@ def _other_pairs(groups: DataFrame, small: DataFrame, roots: DataFrame, tables:
     answering = F.transform(every("rows"), lambda r: place(r * F.col("cols") + in_col, 0))
     asking = F.transform(every("cols"), lambda c: place(in_row * F.col("cols") + c, 1))
     places = F.when(F.col("root") == F.col("main"), answering).otherwise(F.concat(answering, asking))
-    tiles = open_.select("digest", "node", "n", "rem", "root", "small", F.explode(places).alias("p"))
-    tiles = tiles.select("digest", "p.tile", "node", "n", "rem", "root", "p.asks", "small")
+    tiles = open_.select("digest", "node", "n", "rem", "root", "small", "sketch", F.explode(places).alias("p"))
+    tiles = tiles.select("digest", "p.tile", "node", "n", "rem", "root", "p.asks", "small", "sketch")
     tiles = tiles.repartition("digest", "tile").sortWithinPartitions("digest", "tile", "node")
     return tiles.mapInArrow(_tiles(most, turn), "a long, b long").distinct()
 

@@ -1,6 +1,7 @@
 """Near copies: against brute-force Jaccard similarity of five-word shingles."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -77,6 +78,26 @@ def test_a_key_of_many_texts_is_cut_and_keeps_one_hub():
     assert {h for r in cut for h in r["low"]} | {h for r in cut for h in r["mid"]} == {1000}
 
 
+def test_a_tile_gives_no_pairs_of_long_texts_that_only_share_a_key():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 1 << 63, 2000).astype(np.uint64)) for _ in range(300)]
+    sets += [np.unique(np.r_[s[:1900], rng.integers(0, 1 << 63, 90).astype(np.uint64)]) for s in sets[:40]]
+    m = len(sets)
+    n = np.array([len(s) for s in sets], np.int32)
+    small, sketch = [near_copies._small(s) for s in sets], [near_copies._sketch(s) for s in sets]
+    sketch[77] = b""  # none: it may be like any
+    columns = [np.ones(m, np.int64), np.zeros(m, np.int32), np.arange(m), n, n, np.arange(m)]
+    names = ["digest", "tile", "node", "n", "rem", "root", "asks", "small", "sketch"]
+    both = [
+        pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(np.full(m, asks)), pa.array(small), pa.array(sketch)], names)
+        for asks in (0, 1)
+    ]
+    made = list(near_copies._tiles(None)(iter([b.slice(k, 50) for b in both for k in range(0, m, 50)])))
+    found = {(r["a"], r["b"]) for batch in made for r in batch.to_pylist()}
+    assert {(i, 300 + i) for i in range(40)} <= found and all(a < b for a, b in found)
+    assert len(found) < 2 * m
+
+
 def test_odd_rows(spark):
     text = "a b c d e f g"
     rows = [(None, text), (None, text), (3, text), (3, text), (None, "x y z other"), (None, "x y z other"), (9, "q r s t")]
