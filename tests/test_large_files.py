@@ -76,3 +76,14 @@ def test_late_events_of_several_files_a_batch_are_stored_once(spark, monkeypatch
     wanted = spark.read.parquet(f"{FOLDER}/events.parquet").select(F.col("event_id").cast("string"), "event_type")
     got = running.audit_stream_late(spark, FOLDER).select("request_id", "event_type")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, wanted.collect()))
+
+
+def test_aliases_and_addresses_are_shuffled_once(spark):
+    from namesieve.sources import ofac
+
+    order = "struct('f' AS file, 0L AS split, id AS row) AS ord"
+    rows = spark.range(9).selectExpr(order, "string(id % 2) AS ent_num", "concat('a', id % 3) AS alt_reg_date", "'x' AS address", "'y' AS city_state_zip", "'z' AS country")
+    for rolled in (ofac.alias_rollup(rows), ofac.address_rollup(rows)):
+        plan = rolled._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1
+    assert {r.ent_num: (r.aliases, r.alias_text) for r in ofac.alias_rollup(rows).collect()}["1"] == ("A0; A1; A2", "A1 A0 A2 A1")
