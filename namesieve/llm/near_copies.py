@@ -20,7 +20,7 @@ Candidates are first held against their sketches: how many shingles fall into ea
 sets have at most the sum of the smaller counts in common, so most pairs that merely share a key end here and no link
 does. A tile does so itself, so only pairs that may be links leave it, some at a time. The others are compared by their whole sets. A set is made where its text is read (a bitmap of fixed size tells which
 are needed; a text it lets through in vain is only work), and sent to the texts it is compared with, each of which is
-kept once for many partners. Tables in the shared folder are deleted after their last reader.
+kept once for many partners. A worker that packed before forgets its words (``tokens.release``). Tables in the shared folder are deleted after their last reader.
 
 Defined results: null, empty and blank texts are copies of each other; a text of fewer than five words is one shingle;
 equal texts are one node; rows with a null id take part, but are kept only if no row of their component has an id;
@@ -41,6 +41,7 @@ from namesieve.llm import simhash_bk
 from namesieve.llm.bloom_lm import _mixed, _place, _slices
 from namesieve.llm.components import components
 from namesieve.llm.shared import Scratch
+from namesieve.llm.tokens import release
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -146,6 +147,7 @@ def _lists(values: list[np.ndarray], kind) -> pa.ListArray:
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per text (node, text): node, size of its set, fingerprint and keys by hash alone. Copies in a task count once."""
+    release()
     seen: set[int] = set()
     for batch in batches:
         nodes = batch.column(0).to_pylist()
@@ -403,6 +405,7 @@ def _tiles(most: int | None, seed: int = 0):
         return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         place, held = None, []
         for batch in batches:
             columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
@@ -425,6 +428,7 @@ def _tiles(most: int | None, seed: int = 0):
 
 def _as_sets(wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in _wanted_only(batches, wanted):
             nodes = batch.column(0).to_pylist()
             rows = []

@@ -9,6 +9,7 @@ string) is encoded whole. The tests compare the ids with those of the plain call
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from functools import cache
@@ -130,3 +131,10 @@ class Encoder:
 def encoder(path: str) -> Encoder:
     """One encoder per worker and file."""
     return Encoder(path)
+
+
+def release() -> None:
+    """Forget the words this worker keeps. Workers go on to other jobs' tasks; those that need much memory call this."""
+    if encoder.cache_info().currsize:
+        encoder.cache_clear()
+        gc.collect()  # an encoder and its words refer to each other

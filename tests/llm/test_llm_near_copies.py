@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from namesieve.llm import near_copies
+from namesieve.llm import near_copies, nnls_packing, tokens
 
 
 def shingles(text):
@@ -105,3 +105,10 @@ def test_odd_rows(spark):
     kept = sorted((tuple(r) for r in near_copies.keep_one(df).collect()), key=str)
     assert kept == sorted([(3, text), (None, "x y z other"), (9, "q r s t")], key=str)
     assert near_copies.keep_one(df.limit(0)).count() == 0
+
+
+def test_a_worker_forgets_the_words_it_packed():
+    tokens.encoder(nnls_packing.TOKENIZER).ids("some words that a worker keeps")
+    rows = pa.RecordBatch.from_pydict({"node": pa.array([1], pa.int64()), "text": pa.array([b"a b c d e f"])})
+    assert [b.num_rows for b in near_copies._describe(iter([rows]))] == [1]
+    assert tokens.encoder.cache_info().currsize == 0
