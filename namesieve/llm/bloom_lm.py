@@ -3,16 +3,19 @@
 Counts of words and word pairs over all training texts are quantised to levels, four to a doubling, and a filter
 holds the entries (n-gram, 1), ..., (n-gram, level) of each. A count is read by probing for entries until one is
 missing (by galloping and bisection, as the entries of an n-gram are nested). Probabilities are a pair's count
-smoothed with its word's probability, ``(c(vw) + M p(w)) / (c(v) + M)``, and come from probes alone.
+smoothed with its word's probability, ``(c(vw) + M p(w)) / (c(v) + M)``.
 
 The filter is broadcast, so its size is bounded: levels start at ``RESOLUTION`` of the corpus, that is at count
 ``floor = max(1, N * RESOLUTION)``. All counts are gathered, over all training texts; but of one order at most
 ``1 / RESOLUTION`` n-grams can reach the floor, since their counts add up to N, and a pair can only reach it if both
-its words do. With 2 ** -24 that is some 110 MB at most; below 2 ** 24 tokens the floor is 1. N-grams under the floor
-share what is left of the probability. The filter's shards are built by tasks; the driver only lays them side by side.
+its words do. With 2 ** -24 that is some 110 MB at most; below 2 ** 24 tokens the floor is 1. The filter's shards are built
+by tasks; the driver only lays them side by side. Counts of words at the floor or above are broadcast too (16 bytes each, at
+most 2 ** 24), as the base score needs them exactly.
 
-The base score needs exact counts of all words. Counts of words at the floor or above are broadcast too (16 bytes
-each, at most 2 ** 24); the others are joined on the word's hash. Words are told apart by a 64-bit hash.
+N-grams under the floor keep exact counts in shuffled tables. A token whose word, predecessor or pair is not among the
+broadcast ones is listed with its text and joined with these tables on the n-grams' hashes, once for equal tokens of a
+text; so its probability and its share of the base score are from exact counts, 0 if training has none. With a floor of
+1 nothing is listed. Words are told apart by a 64-bit hash.
 
 Defined results: a null or empty text is one end token; a null id is hashed as the empty text, so it is held out;
 repeated rows count and are scored each; without training texts every count is 0; an empty table gives an empty
@@ -149,22 +152,14 @@ def _pairs_of(t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return t.at[second - 1], t.at[second], second
 
 
-def _count_pairs(common):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = common.value[0]
-
-        def parts():
-            for batch in batches:
-                for _, _, t in _slices(batch, 0):
-                    known = _place(keys, t.keys) >= 0
-                    a, b, _ = _pairs_of(t)
-                    both = known[a] & known[b]
-                    found = pair_keys(t.keys[a[both]], t.keys[b[both]])
-                    yield found, np.ones(len(found))
-
-        yield from _gathered(parts())
+def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parts():
+        for batch in batches:
+            for _, _, t in _slices(batch, 0):
+                a, b, _ = _pairs_of(t)
+                yield pair_keys(t.keys[a], t.keys[b]), np.ones(len(a))
 
-    return run
+    yield from _gathered(parts())
 
 
 def level_of(n: Column, floor: int) -> Column:
@@ -262,22 +257,20 @@ def build_filter(counts: DataFrame, floor: int) -> Filter:
 
 @dataclass
 class Totals:
-    """Of the training tokens: all, different ones, and both of those under the floor."""
+    """Of the training tokens: all, and different ones."""
 
     tokens: int
     types: int
-    rare_tokens: int
-    rare_types: int
     floor: int
 
     @property
     def mass(self) -> float:
         return self.tokens + 0.1 * (self.types + 1)
 
-    @property
-    def rare(self) -> float:
-        """The count that stands for a word under the floor, seen or not."""
-        return max(0.1, 0.5 * self.rare_tokens / max(1, self.rare_types))
+
+#: Tokens that are listed: hashes of pair, predecessor and word (null if not to be joined), counts of the last two (0 if to be
+#: joined; a first token has a predecessor's count of -1), and how often the text has them.
+_LISTED = {"pair": "long", "before": "long", "word": "long", "n_before": "double", "n_word": "double", "times": "long"}
 
 
 def _score(common, model, totals: Totals):
@@ -291,40 +284,58 @@ def _score(common, model, totals: Totals):
                 exact = np.where(place >= 0, counts[place] if len(counts) else 0, 0)
                 text, n = t.of_text(), stop - start
                 frequent = (place >= 0)[t.at]
-                part = np.where(place >= 0, np.log10((exact + 0.1) / totals.mass), 0.0)
+                part = np.log10((exact + 0.1) / totals.mass)
                 # Words, then pairs, by probes; each different n-gram of the slice once.
-                count = decoded[filter_.levels(t.keys)]
-                word = (np.where(count > 0, count, totals.rare - 0.1) + 0.1) / totals.mass
+                count = np.where(place >= 0, decoded[filter_.levels(t.keys)], 0.0)
+                word = (count + 0.1) / totals.mass
                 p = word[t.at]
                 a, b, second = _pairs_of(t)
-                both = (count[a] > 0) & (count[b] > 0)
+                both = np.flatnonzero((count[a] > 0) & (count[b] > 0))
                 found, where = np.unique(pair_keys(t.keys[a[both]], t.keys[b[both]]), return_inverse=True)
                 joint = np.zeros(len(a))
                 joint[both] = decoded[filter_.levels(found)][where]
                 p[second] = (joint + PRIOR * p[second]) / (np.maximum(count[a], joint) + PRIOR)
-                others = np.unique(text[~frequent] * len(t.keys) + t.at[~frequent], return_counts=True)
-                owner, token = np.divmod(others[0], max(1, len(t.keys)))
-                ends = np.searchsorted(owner, np.arange(n + 1))
-                lists = [
-                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x))
-                    for x in (t.keys[token].view(np.int64), others[1].astype(np.int64))
-                ]
-                sums = lambda x: np.bincount(text, x, n)
+                whole = np.ones(len(t.at), bool)
+                if totals.floor > 1:
+                    whole = frequent.copy()
+                    whole[second] &= joint > 0
+                before = np.full(len(t.at), -1)
+                before[second] = a
+                ends, lists = _listed(t, np.flatnonzero(~whole), text, before, count, n)
+                sums = lambda x, of: np.bincount(text, np.where(of, x, 0.0), n)
+                based = frequent | (totals.floor == 1)
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(batch.column(i).slice(start, n) for i in range(3)),
                         pa.array(np.diff(t.stops, prepend=0)),
-                        pa.array(sums(frequent).astype(np.int64)),
-                        pa.array(sums(part[t.at])),
-                        pa.array(sums(np.log10(p))),
-                        *lists,
+                        pa.array(sums(frequent, frequent).astype(np.int64)),
+                        pa.array(sums(part[t.at], based)),
+                        pa.array(sums(np.log10(p), whole)),
+                        *(pa.ListArray.from_arrays(ends, x) for x in lists),
                     ],
-                    ["row", "id", "held_out", "n_tokens", "known", "base", "score", "rare", "times"],
+                    ["row", "id", "held_out", "n_tokens", "known", "base", "score", *_LISTED],
                 )
 
     return run
 
 
+def _listed(t: Tokens, at: np.ndarray, text: np.ndarray, before: np.ndarray, count: np.ndarray, n: int):
+    """Ends of texts and columns of the tokens at these places, equal ones of a text as one."""
+    rows = np.stack([text[at], before[at], t.at[at]], axis=1)
+    order = np.lexsort(rows.T[::-1])
+    rows = rows[order]
+    new = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]).any(axis=1)]) if len(rows) else np.empty(0, np.int64)
+    times = np.diff(np.r_[new, len(rows)])
+    owner, a, b = rows[new].T
+    first = a < 0
+    word = t.keys[b]
+    pair = np.where(first, _mixed(word), pair_keys(t.keys[a], word))
+    n_before, n_word = np.where(first, -1.0, count[a]), count[b]
+    ends = pa.array(np.searchsorted(owner, np.arange(n + 1)), pa.int32())
+    hashes = [pa.array(k.view(np.int64), mask=known) for k, known in ((t.keys[a], n_before != 0), (word, n_word != 0))]
+    return ends, [pa.array(pair.view(np.int64)), *hashes, *map(pa.array, (n_before, n_word, times))]
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Base and model score of every text, learned from those that are not held out."""
     spark = docs.sparkSession
@@ -341,27 +352,37 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     keys, counts = table["h"].to_numpy().view(np.uint64), table["n"].to_numpy()
     order = np.argsort(keys)
     common = context.broadcast((keys[order], counts[order]))
-    totals = Totals(tokens, types, tokens - int(counts.sum()), types - len(keys), floor)
-    pairs = training.mapInArrow(_count_pairs(common), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    pairs = written(pairs.where(F.col("n") >= floor), "lm-pairs")
-    model = context.broadcast(build_filter(frequent.union(pairs), floor))
+    totals = Totals(tokens, types, floor)
+    pairs = training.mapInArrow(_count_pairs, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    pairs = written(pairs, "lm-pairs")
+    model = context.broadcast(build_filter(frequent.union(pairs.where(F.col("n") >= floor)), floor))
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"), held_out.alias("held_out"), text
     )
-    schema = (
-        f"row long, id {kind}, held_out boolean, n_tokens long, known long, base double, score double, "
-        "rare array<long>, times array<long>"
-    )
+    lists = ", ".join(f"{c} array<{kind_}>" for c, kind_ in _LISTED.items())
+    schema = f"row long, id {kind}, held_out boolean, n_tokens long, known long, base double, score double, {lists}"
     scored = written(rows.mapInArrow(_score(common, model, totals), schema), "lm-scores")
-    listed = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", "r.rare", "r.times")
-    joined = listed.join(words.where(F.col("n") < floor), F.col("rare") == F.col("h"), "left")
-    seen = F.coalesce("n", F.lit(0))
-    more = joined.groupBy(F.col("row").alias("of")).agg(
-        F.sum(F.when(seen > 0, F.col("times")).otherwise(0)).alias("more_known"),
-        F.sum(F.col("times") * F.log10((seen + 0.1) / totals.mass)).alias("more_base"),
+    listed = scored.select("row", F.explode(F.arrays_zip(*_LISTED)).alias("r")).select("row", "r.*")
+    under = lambda table, h, n: table.where(F.col("n") < floor).select(F.col("h").alias(h), F.col("n").alias(n))
+    # Most have known words and need their pair's count alone. A pair's hash in a word's place spreads the others' rows.
+    rare_words = F.col("before").isNotNull() | F.col("word").isNotNull()
+    some = listed.where(rare_words).withColumns({c: F.coalesce(c, "pair") for c in ("before", "word")})
+    some = some.join(under(words, "before", "found_before"), "before", "left").drop("before")
+    some = some.join(under(words, "word", "found_word"), "word", "left").drop("word")
+    none = listed.where(~rare_words).drop("before", "word")
+    listed = some.unionByName(none, allowMissingColumns=True).join(under(pairs, "pair", "joint"), "pair", "left").drop("pair")
+    found = lambda n, more: F.when(F.col(n) == 0, F.coalesce(more, F.lit(0))).otherwise(F.col(n)).cast("double")
+    joint, rare = F.coalesce("joint", F.lit(0)), F.col("n_word") == 0
+    n_before, n_word = found("n_before", "found_before"), found("n_word", "found_word")
+    alone = (n_word + 0.1) / totals.mass
+    p = F.when(n_before < 0, alone).otherwise((joint + PRIOR * alone) / (F.greatest(n_before, joint) + PRIOR))
+    more = listed.groupBy(F.col("row").alias("of")).agg(
+        F.sum(F.when(rare & (n_word > 0), F.col("times")).otherwise(0)).alias("more_known"),
+        F.sum(F.when(rare, F.col("times") * F.log10(alone)).otherwise(0.0)).alias("more_base"),
+        F.sum(F.col("times") * F.log10(p)).alias("more_score"),
     )
-    whole = scored.drop("rare", "times").join(more, F.col("row") == F.col("of"), "left")
+    whole = scored.drop(*_LISTED).join(more, F.col("row") == F.col("of"), "left")
     return whole.select(
         F.col("id").alias(id_col),
         "held_out",
@@ -369,5 +390,5 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(int(tokens)).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
     )

@@ -128,6 +128,29 @@ def test_scores(spark, monkeypatch, resolution):
         assert sum(r.score for r in out) > 0.8 * sum(r.base_score for r in out)
 
 
+def test_scores_do_not_depend_on_the_floor(spark, monkeypatch):
+    monkeypatch.setattr(bloom_lm, "PRIOR", 5.0)
+    df = spark.createDataFrame(corpus(), "doc_id long, text string").where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    all_in = {r.doc_id: r for r in bloom_lm.score(df).collect()}
+    monkeypatch.setattr(bloom_lm, "RESOLUTION", 0.5)  # only words of half the corpus, so none, are in the filter
+    result = bloom_lm.score(df).collect()
+    for r in result:
+        one = all_in[r.doc_id]
+        assert (r.n_known, r.n_tokens) == (one.n_known, one.n_tokens) and r.base_score == pytest.approx(one.base_score)
+    # Levels and false positives of the filter are what differs.
+    assert sum(r.score for r in result) == pytest.approx(sum(r.score for r in all_in.values()), rel=0.05)
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    texts = {r.doc_id: (r.text or "").lower().split() + ["\n"] for r in df.collect()}
+    one = collections.Counter(w for i, t in texts.items() if not held(i) for w in t)
+    two = collections.Counter(x for i, t in texts.items() if not held(i) for x in zip(t, t[1:]))
+    mass = sum(one.values()) + 0.1 * (len(one) + 1)
+    for r in result:  # without the filter all counts are exact
+        t, word = texts[r.doc_id], lambda w: (one[w] + 0.1) / mass
+        p = [word(t[0]), *((two[a, b] + 5 * word(b)) / (one[a] + 5) for a, b in zip(t, t[1:]))]
+        if r.doc_id != 902:  # other white space
+            assert r.score == pytest.approx(sum(map(math.log10, p)))
+
+
 def test_scores_without_rows_or_training(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert bloom_lm.score(empty).count() == 0
