@@ -5,17 +5,20 @@ holds the entries (n-gram, 1), ..., (n-gram, level) of each. A count is read by
 missing (by galloping and bisection, as the entries of an n-gram are nested). Probabilities are a pair's count
 smoothed with its word's probability, ``(c(vw) + M p(w)) / (c(v) + M)``.
 
-The filter is broadcast, so its size is bounded: levels start at ``RESOLUTION`` of the corpus, that is at count
-``floor = max(1, N * RESOLUTION)``. All counts are gathered, over all training texts; but of one order at most
-``1 / RESOLUTION`` n-grams can reach the floor, since their counts add up to N, and a pair can only reach it if both
-its words do. With 2 ** -24 that is some 110 MB at most; below 2 ** 24 tokens the floor is 1. The filter's shards are built
-by tasks; the driver only lays them side by side. Counts of words at the floor or above are broadcast too (16 bytes each, at
-most 2 ** 24), as the base score needs them exactly.
-
-N-grams under the floor keep exact counts in shuffled tables. A token whose word, predecessor or pair is not among the
-broadcast ones is listed with its text and joined with these tables on the n-grams' hashes, once for equal tokens of a
-text; so its probability and its share of the base score are from exact counts, 0 if training has none. With a floor of
-1 nothing is listed. Words are told apart by a 64-bit hash.
+Levels start at ``RESOLUTION`` of the corpus, that is at count ``floor = max(1, N * RESOLUTION)``. The filter of the words is
+broadcast, so its size is bounded: at most ``1 / RESOLUTION`` words can reach the floor, since their counts add up to N.
+Their exact counts are broadcast too (16 bytes each), as the base score needs them.
+
+Pairs are not broadcast. Every text sends its different pairs to the shards of their hashes, once, with the levels of their
+words; a shard adds up the counts of its pairs, holds those at the floor or above in its part of the filter and the others
+as they are, and answers all texts from these: it sends back what the pairs add to each text's score. A word under the floor
+goes to the shard of its own hash with the pairs it ends, so its count and theirs are exact there. The logarithms add up,
+
+    log p(w | v) = log(M p(w)) - log(c(v) + M) + log(1 + c(vw) / (M p(w))),
+
+so the first two terms are added where the counts of w and of v are known, be it with the text or in a shard. What one slice of
+texts sends to a shard is one packed row: the pairs' hashes as they are, everything else compressed. Words are told apart
+by a 64-bit hash.
 
 Defined results: a null or empty text is one end token; a null id is hashed as the empty text, so it is held out;
 repeated rows count and are scored each; without training texts every count is 0; an empty table gives an empty
@@ -31,6 +34,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +52,10 @@ PRIOR = 1500.0
 PARTS = 10
 _SLICE = 2_000_000
 _GATHERED = 1_500_000
+#: Shards of the pairs, and tasks that take them one by one: so many at least, and one for so many training tokens.
+PAIR_SHARDS = 256
+PAIR_TASKS = 32
+SHARD_TOKENS = 4_000_000
 #: No word holds a line break, so none has this key but by a collision.
 END_KEY = np.uint64(xxhash.xxh64_intdigest(b"\n"))
 
@@ -152,20 +160,14 @@ def _pairs_of(t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return t.at[second - 1], t.at[second], second
 
 
-def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def parts():
-        for batch in batches:
-            for _, _, t in _slices(batch, 0):
-                a, b, _ = _pairs_of(t)
-                yield pair_keys(t.keys[a], t.keys[b]), np.ones(len(a))
-
-    yield from _gathered(parts())
-
-
 def level_of(n: Column, floor: int) -> Column:
     return (F.floor(F.log2(n / floor) * LEVELS_PER_DOUBLING + 1e-9) + 1).cast("int")
 
 
+def levels_of(n: np.ndarray, floor: int) -> np.ndarray:
+    return np.floor(np.log2(n / floor) * LEVELS_PER_DOUBLING + 1e-9).astype(np.int64) + 1
+
+
 def counts_of_levels(most: int, floor: int) -> np.ndarray:
     """The middle of the whole counts of each level; 0 for level 0."""
     edges = np.ceil(floor * 2.0 ** (np.arange(most + 1) / LEVELS_PER_DOUBLING) - 1e-6)
@@ -180,6 +182,7 @@ class Filter:
     size: int
     most: int
     floor: int
+    shards: int = SHARDS
 
     def _spots(self, keys: np.ndarray, levels: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -197,7 +200,7 @@ class Filter:
             np.bitwise_or.at(self.bits, spots >> 3, (1 << (spots & 7)).astype(np.uint8))
 
     def _has(self, keys: np.ndarray, levels: np.ndarray) -> np.ndarray:
-        shard = (keys % np.uint64(SHARDS)).astype(np.int64) * self.size
+        shard = (keys % np.uint64(self.shards)).astype(np.int64) * self.size
         spots = self._spots(keys, levels) + shard[:, None]
         return ((self.bits[spots >> 3] >> (spots & 7).astype(np.uint8)) & 1).all(axis=1)
 
@@ -244,10 +247,12 @@ def _build_shards(size: int, most: int, floor: int):
 def build_filter(counts: DataFrame, floor: int) -> Filter:
     """The filter of n-gram counts (h, n), all at the floor or above."""
     graded = counts.select("h", level_of(F.col("n"), floor).alias("level"))
-    total, most = graded.agg(F.coalesce(F.sum("level"), F.lit(0)), F.coalesce(F.max("level"), F.lit(0))).first()
-    size = max(64, math.ceil(total * BITS_PER_ENTRY / SHARDS / 64) * 64)
-    # The shard of an unsigned key; SHARDS is a power of two.
-    dealt = graded.repartition(F.col("h").bitwiseAND(F.lit(SHARDS - 1)))
+    # The shard of an unsigned key; SHARDS is a power of two. A shard has room for what the fullest one holds.
+    shard = F.col("h").bitwiseAND(F.lit(SHARDS - 1))
+    loads = graded.groupBy(shard).agg(F.sum("level").alias("load"), F.max("level").alias("most"))
+    load, most = loads.agg(F.coalesce(F.max("load"), F.lit(0)), F.coalesce(F.max("most"), F.lit(0))).first()
+    size = max(64, math.ceil(load * BITS_PER_ENTRY / 64) * 64)
+    dealt = graded.repartition(shard)
     built = dealt.mapInArrow(_build_shards(size, most, floor), "shard long, bits binary")
     bits = np.zeros(SHARDS * size // 8, np.uint8)
     for row in built.collect():
@@ -257,83 +262,304 @@ def build_filter(counts: DataFrame, floor: int) -> Filter:
 
 @dataclass
 class Totals:
-    """Of the training tokens: all, and different ones."""
+    """Of the training tokens: all, and different ones; and what scores are worked out with."""
 
     tokens: int
     types: int
     floor: int
+    prior: float
 
     @property
     def mass(self) -> float:
         return self.tokens + 0.1 * (self.types + 1)
 
+    def at_least(self, n: int) -> int:
+        """``n``, or more for many tokens."""
+        return max(n, math.ceil(self.tokens / SHARD_TOKENS))
+
+
+def _packed(*columns: np.ndarray) -> bytes:
+    """Columns of equal length, byte plane by byte plane, compressed."""
+    planes = (np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns)
+    return pa.compress(b"".join(planes), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, n: int, *types: str) -> list[np.ndarray]:
+    sizes = [np.dtype(t).itemsize for t in types]
+    raw = np.frombuffer(pa.decompress(data, n * sum(sizes), codec="zstd", asbytes=True), np.uint8)
+    parts = np.split(raw, np.cumsum(sizes)[:-1] * n)
+    return [np.ascontiguousarray(p.reshape(k, n).T).view(t).ravel() for p, k, t in zip(parts, sizes, types, strict=True)]
+
+
+#: Rows on the way to the shards: a text (its sums so far), or n-grams of a slice (``kind`` 1: by pair, 2: by word).
+_TEXT = {"id": None, "held_out": "boolean", "n_tokens": "long", "known": "double", "base": "double", "score": "double"}
+_CELLS = {"keys": "binary", "counts": "binary", "rows": "binary"}
+_SENT = {"shard": "int", "slice": "long", "kind": "int", "row": "int", **_TEXT, **_CELLS}
+#: Rows on the way back: the same texts, or what n-grams add to the texts of a slice.
+_BACK = {"slice": "long", "row": "int", **_TEXT, "rows": "binary", "sums": "binary"}
+
+
+def _schema(columns: dict[str, str | None], kind: str) -> str:
+    return ", ".join(f"{c} {t or kind}" for c, t in columns.items())
+
+
+def _record_batch(n: int, columns: dict, given: dict, id_type: pa.DataType) -> pa.RecordBatch:
+    """A batch with the given columns, the others null."""
+    types = {"boolean": pa.bool_(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary()}
+    types[None] = id_type
+    arrays = []
+    for name, kind in columns.items():
+        value = given.get(name)
+        if value is None:
+            value = pa.nulls(n, types[kind])
+        elif not isinstance(value, pa.Array):
+            value = pa.array(value, types[kind])
+        arrays.append(value)
+    return pa.RecordBatch.from_arrays(arrays, list(columns))
+
+
+def _grouped(keys: list[np.ndarray], text: np.ndarray, trained: np.ndarray, shards: int):
+    """Tokens by their keys (the first one deals them): packed keys, counts and rows of each shard.
+
+    Equal n-grams of the slice are one group, equal ones of a text one record of it. ``trained`` says if a token is
+    learned from. Yields shard, places of the groups' first tokens, keys and the other two cells' arrays.
+    """
+    order = np.lexsort(keys[::-1])
+    keys, text, trained = [k[order] for k in keys], text[order], trained[order]
+    if not len(order):
+        return
+    change = np.zeros(len(order) - 1, bool)
+    for k in keys:
+        change |= k[1:] != k[:-1]
+    groups = np.flatnonzero(np.r_[True, change])
+    records = np.flatnonzero(np.r_[True, change | (text[1:] != text[:-1])])
+    times = np.diff(np.r_[records, len(order)]).astype(np.uint32)
+    first = np.searchsorted(records, np.r_[groups, len(order)])
+    learned = np.add.reduceat(trained.astype(np.int64), groups).astype(np.uint32)
+    many, rows = np.diff(first).astype(np.uint32), text[records].astype(np.uint32)
+    heads = [k[groups] for k in keys]
+    shard = ((heads[0] >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+    stops = np.r_[np.flatnonzero(shard[1:] != shard[:-1]) + 1, len(groups)]
+    start = 0
+    for stop in stops.tolist():
+        of, cells = slice(start, stop), slice(first[start], first[stop])
+        yield int(shard[start]), order[groups[of]], [h[of] for h in heads], (learned[of], many[of]), (rows[cells], times[cells])
+        start = stop
+
+
+def _send(common, model, totals: Totals):
+    shards = totals.at_least(PAIR_SHARDS)
 
-#: Tokens that are listed: hashes of pair, predecessor and word (null if not to be joined), counts of the last two (0 if to be
-#: joined; a first token has a predecessor's count of -1), and how often the text has them.
-_LISTED = {"pair": "long", "before": "long", "word": "long", "n_before": "double", "n_word": "double", "times": "long"}
-
-
-def _score(common, model, totals: Totals):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts = common.value
         filter_: Filter = model.value
         decoded = counts_of_levels(filter_.most, totals.floor)
+        read = np.full(len(keys), -1, np.int64)
         for batch in batches:
+            ids, held = batch.column(1), batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
             for start, stop, t in _slices(batch, 3):
                 place = _place(keys, t.keys)
-                exact = np.where(place >= 0, counts[place] if len(counts) else 0, 0)
+                frequent, at = place >= 0, place[place >= 0]
+                new = at[read[at] < 0]
+                read[new] = filter_.levels(keys[new])
+                level, exact = np.zeros(len(t.keys), np.int64), np.zeros(len(t.keys))
+                level[frequent], exact[frequent] = read[at], counts[at]
+                count = decoded[level]
                 text, n = t.of_text(), stop - start
-                frequent = (place >= 0)[t.at]
-                part = np.log10((exact + 0.1) / totals.mass)
-                # Words, then pairs, by probes; each different n-gram of the slice once.
-                count = np.where(place >= 0, decoded[filter_.levels(t.keys)], 0.0)
-                word = (count + 0.1) / totals.mass
-                p = word[t.at]
                 a, b, second = _pairs_of(t)
-                both = np.flatnonzero((count[a] > 0) & (count[b] > 0))
-                found, where = np.unique(pair_keys(t.keys[a[both]], t.keys[b[both]]), return_inverse=True)
-                joint = np.zeros(len(a))
-                joint[both] = decoded[filter_.levels(found)][where]
-                p[second] = (joint + PRIOR * p[second]) / (np.maximum(count[a], joint) + PRIOR)
-                whole = np.ones(len(t.at), bool)
-                if totals.floor > 1:
-                    whole = frequent.copy()
-                    whole[second] &= joint > 0
+                word = np.log10((count + 0.1) / totals.mass)[t.at]
+                word[second] += math.log10(totals.prior)
+                word[~frequent[t.at]] = 0.0
+                word[second] -= np.where(frequent[a], np.log10(count[a] + totals.prior), 0.0)
+                sums = lambda x: np.bincount(text, x, n)
+                based = np.where(frequent, np.log10((exact + 0.1) / totals.mass), 0.0)
+                begin = batch.column(0)[start].as_py()
+                given = {
+                    "shard": (begin + np.arange(n)) % shards,
+                    "slice": np.full(n, begin),
+                    "kind": np.zeros(n, np.int32),
+                    "row": np.arange(n),
+                    "id": ids.slice(start, n),
+                    "held_out": held[start:stop],
+                    "n_tokens": np.diff(t.stops, prepend=0),
+                    "known": sums(frequent[t.at].astype(float)),
+                    "base": sums(based[t.at]),
+                    "score": sums(word),
+                }
+                yield _record_batch(n, _SENT, given, ids.type)
+                learn = ~held[start:stop][text]
+                out = defaultdict(list)
+                # Pairs that end in a frequent word.
+                some = np.flatnonzero(frequent[b])
+                a1, b1 = a[some], b[some]
+                learn1, text1 = learn[second[some]], text[second[some]]
+                pairs = pair_keys(t.keys[a1], t.keys[b1])
+                for shard, one, (pair,), (learned, many), records in _grouped([pairs], text1, learn1, shards):
+                    levels = level[a1[one]].astype(np.uint8), level[b1[one]].astype(np.uint8)
+                    _put(out, shard, 1, pair.tobytes(), _packed(learned, many, *levels), _packed(*records))
+                # Words under the floor, with the pairs they end.
+                some = np.flatnonzero(~frequent[t.at])
                 before = np.full(len(t.at), -1)
                 before[second] = a
-                ends, lists = _listed(t, np.flatnonzero(~whole), text, before, count, n)
-                sums = lambda x, of: np.bincount(text, np.where(of, x, 0.0), n)
-                based = frequent | (totals.floor == 1)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *(batch.column(i).slice(start, n) for i in range(3)),
-                        pa.array(np.diff(t.stops, prepend=0)),
-                        pa.array(sums(frequent, frequent).astype(np.int64)),
-                        pa.array(sums(part[t.at], based)),
-                        pa.array(sums(np.log10(p), whole)),
-                        *(pa.ListArray.from_arrays(ends, x) for x in lists),
-                    ],
-                    ["row", "id", "held_out", "n_tokens", "known", "base", "score", *_LISTED],
-                )
+                a2, key = before[some], t.keys[t.at[some]]
+                pairs = np.where(a2 < 0, _mixed(key), pair_keys(t.keys[a2], key))
+                for shard, one, (w, pair), (learned, many), records in _grouped([key, pairs], text[some], learn[some], shards):
+                    none = (a2[one] < 0).astype(np.uint8)
+                    _put(out, shard, 2, w.tobytes() + pair.tobytes(), _packed(learned, many, none, none), _packed(*records))
+                if out["shard"]:
+                    n = len(out["shard"])
+                    yield _record_batch(n, _SENT, {**out, "slice": np.full(n, begin)}, ids.type)
+
+    return run
+
+
+def _put(out: dict[str, list], *cells) -> None:
+    for name, cell in zip(("shard", "kind", "keys", "counts", "rows"), cells, strict=True):
+        out[name].append(cell)
+
+
+@dataclass
+class Sent:
+    """N-grams of a slice that a shard got."""
+
+    slice: int
+    keys: bytes
+    counts: bytes
+    rows: bytes
+
+    def heads(self, width: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        keys = np.frombuffer(self.keys, np.uint64).reshape(width, -1)
+        return keys, _unpacked(self.counts, keys.shape[1], "<u4", "<u4", "u1", "u1")
+
+    def added(self, many: np.ndarray, terms: list[np.ndarray]) -> tuple[int, bytes, bytes]:
+        """What groups with these terms add to texts: slice, rows and their sums, packed."""
+        rows, times = _unpacked(self.rows, int(many.sum()), "<u4", "<u4")
+        present, where = np.unique(rows, return_inverse=True)
+        sums = [np.bincount(where, np.repeat(x, many) * times, len(present)) for x in terms]
+        head = len(present).to_bytes(4, "little")
+        return self.slice, head + _packed(np.diff(present, prepend=np.uint32(0))), _packed(*sums)
+
+
+def _totalled(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    found, where = np.unique(keys, return_inverse=True)
+    return found, where, np.bincount(where, counts, len(found))
+
+
+def _counts_in_shard(keys: np.ndarray, counts: np.ndarray, floor: int) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each key among the different ones, and their counts: under the floor as they are, others by the filter."""
+    found, where, total = _totalled(keys, counts)
+    often = total >= floor
+    levels = levels_of(total[often], floor)
+    most = int(levels.max(initial=0))
+    size = max(64, math.ceil(int(levels.sum()) * BITS_PER_ENTRY / 64) * 64)
+    filter_ = Filter(np.zeros(size // 8, np.uint8), size, most, floor, 1)
+    filter_.add(found[often], levels)
+    asked = often | (total == 0)
+    total[asked] = counts_of_levels(most, floor)[filter_.levels(found[asked])]
+    return where, total
+
+
+def _answers(pairs: list[Sent], words: list[Sent], totals: Totals, decoded: np.ndarray) -> Iterator[tuple[int, bytes, bytes]]:
+    """What the n-grams of one shard add to the texts."""
+    if pairs:
+        heads = [s.heads(1) for s in pairs]
+        where, joint = _counts_in_shard(
+            np.concatenate([k[0] for k, _ in heads]), np.concatenate([c[0] for _, c in heads]), totals.floor
+        )
+        at = 0
+        for s, (keys, (_, many, before, word)) in zip(pairs, heads, strict=True):
+            j = joint[where[at : at + keys.shape[1]]]
+            at += keys.shape[1]
+            weight = totals.prior * (decoded[word] + 0.1) / totals.mass
+            # The filter may give a pair more than its first word has; an exact count never is.
+            excess = np.where(before > 0, np.maximum(j - decoded[before], 0.0), 0.0)
+            term = np.log10(1.0 + j / weight) - np.log10(1.0 + excess / (decoded[before] + totals.prior))
+            zero = np.zeros(len(term))
+            yield s.added(many, [zero, zero, term])
+    if words:
+        heads = [s.heads(2) for s in words]
+        learned = np.concatenate([c[0] for _, c in heads])
+        _, of_word, n_word = _totalled(np.concatenate([k[0] for k, _ in heads]), learned)
+        _, of_pair, n_pair = _totalled(np.concatenate([k[1] for k, _ in heads]), learned)
+        at = 0
+        for s, (keys, (_, many, first, _)) in zip(words, heads, strict=True):
+            n, j = n_word[of_word[at : at + keys.shape[1]]], n_pair[of_pair[at : at + keys.shape[1]]]
+            at += keys.shape[1]
+            alone = (n + 0.1) / totals.mass
+            term = np.log10(np.where(first > 0, alone, j + totals.prior * alone))
+            # Every word but the end is followed by a token.
+            term -= np.where(keys[0] == END_KEY, 0.0, np.log10(n + totals.prior))
+            yield s.added(many, [(n > 0).astype(float), np.log10(alone), term])
+
+
+def _answer(totals: Totals, decoded: np.ndarray):
+    """Shards of a task, which come one after the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def answered(id_type):
+            out = list(zip(*_answers(held[1], held[2], totals, decoded), strict=True))
+            held[1], held[2] = [], []
+            for i in range(0, len(out[0]) if out else 0, 1_000):
+                cells = [x[i : i + 1_000] for x in out]
+                yield _record_batch(len(cells[0]), _BACK, dict(zip(("slice", "rows", "sums"), cells, strict=True)), id_type)
+
+        held: dict[int, list[Sent]] = {1: [], 2: []}
+        shard = id_type = None
+        for batch in batches:
+            id_type = batch.column("id").type
+            kinds = batch.column("kind")
+            texts = batch.filter(pc.equal(kinds, 0))
+            if len(texts):
+                yield _record_batch(len(texts), _BACK, {c: texts.column(c) for c in ("slice", "row", *_TEXT)}, id_type)
+            grams = batch.filter(pc.greater(kinds, 0)).select(["shard", "kind", "slice", "keys", "counts", "rows"])
+            for of, kind, *cells in zip(*(c.to_pylist() for c in grams.columns), strict=True):
+                if of != shard:
+                    yield from answered(id_type)
+                    shard = of
+                held[kind].append(Sent(*cells))
+        if id_type is not None:
+            yield from answered(id_type)
 
     return run
 
 
-def _listed(t: Tokens, at: np.ndarray, text: np.ndarray, before: np.ndarray, count: np.ndarray, n: int):
-    """Ends of texts and columns of the tokens at these places, equal ones of a text as one."""
-    rows = np.stack([text[at], before[at], t.at[at]], axis=1)
-    order = np.lexsort(rows.T[::-1])
-    rows = rows[order]
-    new = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]).any(axis=1)]) if len(rows) else np.empty(0, np.int64)
-    times = np.diff(np.r_[new, len(rows)])
-    owner, a, b = rows[new].T
-    first = a < 0
-    word = t.keys[b]
-    pair = np.where(first, _mixed(word), pair_keys(t.keys[a], word))
-    n_before, n_word = np.where(first, -1.0, count[a]), count[b]
-    ends = pa.array(np.searchsorted(owner, np.arange(n + 1)), pa.int32())
-    hashes = [pa.array(k.view(np.int64), mask=known) for k, known in ((t.keys[a], n_before != 0), (word, n_word != 0))]
-    return ends, [pa.array(pair.view(np.int64)), *hashes, *map(pa.array, (n_before, n_word, times))]
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts with all that was added to them; all rows of a slice come one after the other, its texts first and in order."""
+
+    def done():
+        table = pa.Table.from_batches(texts)
+        at = table.column("row").to_numpy()
+        total = [table.column(c).to_numpy() + x[at] for c, x in zip(("known", "base", "score"), more, strict=True)]
+        columns = [table.column(c).combine_chunks() for c in ("id", "held_out", "n_tokens")]
+        return pa.RecordBatch.from_arrays([*columns, *map(pa.array, (total[0].astype(np.int64), *total[1:]))], list(_TEXT))
+
+    texts, more, of = [], None, None
+    for batch in batches:
+        slices = batch.column("slice").to_numpy()
+        stops = np.r_[np.flatnonzero(slices[1:] != slices[:-1]) + 1, len(slices)]
+        start = 0
+        for stop in stops.tolist():
+            if stop == start:
+                continue
+            part = batch.slice(start, stop - start)
+            if slices[start] != of:
+                if texts:
+                    yield done()
+                texts, more, of = [], None, slices[start]
+            start = stop
+            rows = part.filter(pc.is_valid(part.column("row")))
+            if len(rows):
+                texts.append(rows)
+                size = rows.column("row")[len(rows) - 1].as_py() + 1
+                more = np.zeros((3, size)) if more is None else np.pad(more, ((0, 0), (0, size - more.shape[1])))
+            grams = part.filter(pc.is_valid(part.column("rows")))
+            for packed, sums in zip(grams.column("rows").to_pylist(), grams.column("sums").to_pylist(), strict=True):
+                n = int.from_bytes(packed[:4], "little")
+                at = np.cumsum(_unpacked(packed[4:], n, "<u4")[0])
+                for total, x in zip(more, _unpacked(sums, n, "<f8", "<f8", "<f8"), strict=True):
+                    total[at] += x
+    if texts:
+        yield done()
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -352,43 +578,25 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     keys, counts = table["h"].to_numpy().view(np.uint64), table["n"].to_numpy()
     order = np.argsort(keys)
     common = context.broadcast((keys[order], counts[order]))
-    totals = Totals(tokens, types, floor)
-    pairs = training.mapInArrow(_count_pairs, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    pairs = written(pairs, "lm-pairs")
-    model = context.broadcast(build_filter(frequent.union(pairs.where(F.col("n") >= floor)), floor))
+    totals = Totals(tokens, types, floor, PRIOR)
+    filter_ = build_filter(frequent, floor)
+    model = context.broadcast(filter_)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("id"), held_out.alias("held_out"), text
     )
-    lists = ", ".join(f"{c} array<{kind_}>" for c, kind_ in _LISTED.items())
-    schema = f"row long, id {kind}, held_out boolean, n_tokens long, known long, base double, score double, {lists}"
-    scored = written(rows.mapInArrow(_score(common, model, totals), schema), "lm-scores")
-    listed = scored.select("row", F.explode(F.arrays_zip(*_LISTED)).alias("r")).select("row", "r.*")
-    under = lambda table, h, n: table.where(F.col("n") < floor).select(F.col("h").alias(h), F.col("n").alias(n))
-    # Most have known words and need their pair's count alone. A pair's hash in a word's place spreads the others' rows.
-    rare_words = F.col("before").isNotNull() | F.col("word").isNotNull()
-    some = listed.where(rare_words).withColumns({c: F.coalesce(c, "pair") for c in ("before", "word")})
-    some = some.join(under(words, "before", "found_before"), "before", "left").drop("before")
-    some = some.join(under(words, "word", "found_word"), "word", "left").drop("word")
-    none = listed.where(~rare_words).drop("before", "word")
-    listed = some.unionByName(none, allowMissingColumns=True).join(under(pairs, "pair", "joint"), "pair", "left").drop("pair")
-    found = lambda n, more: F.when(F.col(n) == 0, F.coalesce(more, F.lit(0))).otherwise(F.col(n)).cast("double")
-    joint, rare = F.coalesce("joint", F.lit(0)), F.col("n_word") == 0
-    n_before, n_word = found("n_before", "found_before"), found("n_word", "found_word")
-    alone = (n_word + 0.1) / totals.mass
-    p = F.when(n_before < 0, alone).otherwise((joint + PRIOR * alone) / (F.greatest(n_before, joint) + PRIOR))
-    more = listed.groupBy(F.col("row").alias("of")).agg(
-        F.sum(F.when(rare & (n_word > 0), F.col("times")).otherwise(0)).alias("more_known"),
-        F.sum(F.when(rare, F.col("times") * F.log10(alone)).otherwise(0.0)).alias("more_base"),
-        F.sum(F.col("times") * F.log10(p)).alias("more_score"),
-    )
-    whole = scored.drop(*_LISTED).join(more, F.col("row") == F.col("of"), "left")
-    return whole.select(
+    sent = rows.mapInArrow(_send(common, model, totals), _schema(_SENT, kind))
+    shards = sent.repartition(totals.at_least(PAIR_TASKS), "shard").sortWithinPartitions("shard")
+    decoded = counts_of_levels(filter_.most, floor)
+    back = shards.mapInArrow(_answer(totals, decoded), _schema(_BACK, kind))
+    slices = back.repartition("slice").sortWithinPartitions("slice", F.col("row").asc_nulls_last())
+    scored = slices.mapInArrow(_add_up, f"id {kind}, held_out boolean, n_tokens long, known long, base double, score double")
+    return scored.select(
         F.col("id").alias(id_col),
         "held_out",
         "n_tokens",
-        (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
+        F.col("known").alias("n_known"),
         F.lit(int(tokens)).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"),
-        (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
+        F.col("base").alias("base_score"),
+        "score",
     )

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -156,3 +157,26 @@ def test_scores_without_rows_or_training(spark):
     assert bloom_lm.score(empty).count() == 0
     alone = bloom_lm.score(spark.createDataFrame([(None, "a b")], "doc_id long, text string")).first()
     assert (alone.held_out, alone.n_tokens, alone.n_known, alone.train_tokens) == (True, 3, 0, 0) and alone.base_score == 0
+
+
+def test_pairs_under_the_floor_are_not_stored_by_token(spark, monkeypatch):
+    """Most pairs of a large corpus are under the floor: what is written for them must not be a multiple of the texts."""
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(f"w{k}" for k in rng.integers(0, 400, 200))) for i in range(300)]
+    monkeypatch.setattr(bloom_lm, "RESOLUTION", 2.0**-13)
+    monkeypatch.setattr(bloom_lm, "PRIOR", 5.0)
+    folder = Path(bloom_lm.written(spark.range(1), "lm-folder").inputFiles()[0].removeprefix("file:")).parents[1]
+    size = lambda: sum(f.stat().st_size for f in folder.rglob("*") if f.is_file())
+    before = size()
+    result = {r.doc_id: r for r in bloom_lm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert size() - before < sum(len(t) for _, t in rows)
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    texts = {i: t.split() + ["\n"] for i, t in rows}
+    one = collections.Counter(w for i, t in texts.items() if not held(i) for w in t)
+    two = collections.Counter(x for i, t in texts.items() if not held(i) for x in zip(t, t[1:]))
+    floor = math.ceil(sum(one.values()) * 2.0**-13)
+    assert floor == 7 and min(one.values()) >= floor and max(v for (_, b), v in two.items() if b != "\n") < floor
+    mass = sum(one.values()) + 0.1 * (len(one) + 1)
+    for i, t in texts.items():  # the filter's levels of words are what differs
+        p = [(one[t[0]] + 0.1) / mass, *((two[a, b] + 5 * (one[b] + 0.1) / mass) / (one[a] + 5) for a, b in zip(t, t[1:]))]
+        assert result[i].score == pytest.approx(sum(map(math.log10, p)), rel=0.02)
