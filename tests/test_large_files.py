@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from namesieve.catalog import files, running
 from namesieve.operators import audit
+from namesieve.sources import lines, ofac
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -87,3 +88,24 @@ def test_aliases_and_addresses_are_shuffled_once(spark):
         plan = rolled._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange hashpartitioning") == 1
     assert {r.ent_num: (r.aliases, r.alias_text) for r in ofac.alias_rollup(rows).collect()}["1"] == ("A0; A1; A2", "A1 A0 A2 A1")
+
+
+def test_whole_files_are_not_read_a_second_time(spark, tmp_path):
+    import gzip
+
+    text = "".join(f"{i},a b\n c{i}\n" for i in range(300))
+    for name, body in (("a", text), ("b", "no start\n" + text)):
+        with gzip.open(tmp_path / f"{name}.txt.gz", "wt") as out:
+            out.write(body)
+    rows = _with_splits(spark, 1000, lambda: lines.repaired_records(spark, str(tmp_path)).orderBy("ord").collect())
+    assert [r.record for r in rows] == [f"{i},a b c{i}" for i in range(300)] + ["no start"] + [f"{i},a b c{i}" for i in range(300)]
+    read = spark.read.text(str(tmp_path)).select("_metadata.file_block_length", "_metadata.file_size").distinct().collect()
+    assert all(r.file_block_length == r.file_size for r in read)
+
+
+def test_records_are_parsed_once(spark, tmp_path):
+    (tmp_path / "alt.csv").write_text('1,-0- ,x,"b, c",\n2,a,x,b,c,too,many\n')
+    alt = ofac.scan_alt(spark, str(tmp_path)).where("alt_reg_date <> ''")
+    assert [(r.ent_num, r.alt_type, r.alt_reg_date) for r in alt.collect()] == [("1", "", "b, c")]
+    plan = alt._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_csv") == 1
