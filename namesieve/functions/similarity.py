@@ -227,6 +227,56 @@ _BLOCK = 128
 _SCORED = 50_000
 
 
+#: Different characters up to which the places of every character in every name of a tile are kept, and characters of a
+#: text after which pairs that cannot reach the threshold any more are given up.
+_ALPHABET = 512
+_STEP = 12
+
+
+class _Tile:
+    """The names of a tile, with the places of every character in each of the shorter ones, as bits."""
+
+    def __init__(self, names: np.ndarray, n: np.ndarray):
+        self.n, self.names = n, names
+        letters = {ch: i for i, ch in enumerate(sorted(set().union(*names)))}
+        self.blank = len(letters)  # stands behind the end of a name and is nowhere
+        self.short = (n <= MAX_PATTERN) & (len(letters) <= _ALPHABET)
+        # Only texts about as long as a short name are held against one.
+        width = min(int(n.max(initial=0)), MAX_TEXT)
+        self.held = n <= width
+        self.codes = np.full((width, len(names)), self.blank, np.int64)
+        self.places = np.zeros((len(names), self.blank + 1 if self.short.any() else 0), np.uint64)
+        if self.short.any():
+            for k in np.flatnonzero(self.held).tolist():
+                of_name = np.fromiter((letters[ch] for ch in names[k]), np.int64, n[k])
+                self.codes[: n[k], k] = of_name
+                if self.short[k]:
+                    np.bitwise_or.at(self.places[k], of_name, np.uint64(1) << np.arange(n[k], dtype=np.uint64))
+
+    def lcs(self, i: np.ndarray, j: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """LCS lengths of pairs as far as they are ``least`` or more, else some smaller number or -1."""
+        n = self.n
+        p, q = np.where(n[i] <= n[j], i, j), np.where(n[i] <= n[j], j, i)
+        out = np.full(len(p), -1, np.int64)
+        fast = self.short[p] & self.held[q]
+        slow = np.flatnonzero(~fast)
+        if len(slow):
+            out[slow] = _lcs_series(pd.Series(self.names[p[slow]]), pd.Series(self.names[q[slow]])).to_numpy(np.int64)
+        at = np.flatnonzero(fast)
+        p, q, least = p[at], q[at], least[at]
+        row, places = p * self.places.shape[1], self.places.ravel()
+        full = (np.uint64(1) << n[p].astype(np.uint64)) - np.uint64(1)
+        v = full.copy()
+        for k in range(int(n[q].max(initial=0))):
+            used = v & places[row + self.codes[k][q]]
+            v = ((v + used) | (v - used)) & full
+            if k % _STEP == _STEP - 1:
+                alive = np.bitwise_count(full & ~v) + np.maximum(n[q] - k - 1, 0) >= least
+                at, q, least, row, full, v = (x[alive] for x in (at, q, least, row, full, v))
+        out[at] = np.bitwise_count(full & ~v)
+        return out
+
+
 def _scored_tile(names: np.ndarray, bits: np.ndarray, asks: np.ndarray, answers: np.ndarray, threshold: float):
     """Similar pairs (smaller name, larger name, score) of those that ask and those that answer; of equal ones each pair once."""
     n = np.fromiter(map(len, names), np.int64, len(names))
@@ -237,14 +287,15 @@ def _scored_tile(names: np.ndarray, bits: np.ndarray, asks: np.ndarray, answers:
     asks, answers = (x[np.argsort(n[x], kind="stable")] for x in (asks, answers))
     ratio = threshold / (200 - threshold)
     held: list[np.ndarray] = []
+    tile = _Tile(names, n)
 
     def scored(i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
         for k in range(0, len(i), _SCORED):
-            x, y = names[i[k : k + _SCORED]], names[j[k : k + _SCORED]]
-            both = n[i[k : k + _SCORED]] + n[j[k : k + _SCORED]]
-            score = 200.0 * _lcs_series(pd.Series(x), pd.Series(y)).to_numpy(np.float64) / both
+            x, y = i[k : k + _SCORED], j[k : k + _SCORED]
+            both = n[x] + n[y]
+            score = 200.0 * tile.lcs(x, y, least[both]) / both
             keep = score >= threshold - 1e-9
-            pairs = [sorted(p) for p in zip(x[keep], y[keep], strict=True)]
+            pairs = [sorted(p) for p in zip(names[x[keep]], names[y[keep]], strict=True)]
             columns = [pa.array([p[c] for p in pairs], pa.string()) for c in (0, 1)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(score[keep])], ["l_name_key", "r_name_key", "similarity"])
 
